@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,12 @@ CHUNK_BYTES = 8 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """The table at sf_dir, by Spark's reader alone, so that any store it knows will do."""
+    """The table at sf_dir, by Spark's reader alone, so that any store it knows will do.
+
+    In local mode, Python workers are told where this package is; a cluster gets it by --py-files or an image.
+    """
+    if spark.sparkContext.master.startswith("local["):
+        spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
