@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from itertools import islice
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,7 +108,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": part["doc_id"],
-                        "n_bytes": pa.compute.cast(pa.compute.binary_length(part["text"]), pa.int64()),
+                        "n_bytes": pc.cast(pc.binary_length(part["text"]), pa.int64()),
                         "n_tokens": pa.array([counter.count(t) for t in found], pa.int64()),
                     }
                 )
