@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, sharding, tokens
+from tidemark.llm import chat, quality, sharding, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": chat.op1_chat_format,
+    "op2_quality_rules": quality.op2_quality_rules,
     "op7_token_counts": tokens.op7_token_counts,
     "op9_ring_shards": sharding.op9_ring_shards,
 }
