@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, quality, sharding, simhash, tokens
+from tidemark.llm import chat, decontaminate, quality, sharding, simhash, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": chat.op1_chat_format,
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_simhash_groups": simhash.op3_simhash_groups,
     "op7_token_counts": tokens.op7_token_counts,
+    "op8_fm_decontaminate": decontaminate.op8_fm_decontaminate,
     "op9_ring_shards": sharding.op9_ring_shards,
 }
 
 ORACLES: dict[str, str] = {
     "op1_chat_format": chat.OP1_SQL,
+    "op8_fm_decontaminate": decontaminate.OP8_SQL,
 }
