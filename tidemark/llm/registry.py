@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, decontaminate, langid, quality, sharding, simhash, tokens
+from tidemark.llm import chat, decontaminate, langid, pieces, quality, sharding, simhash, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": chat.op1_chat_format,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_mixture": langid.op5_language_mixture,
     "op7_token_counts": tokens.op7_token_counts,
     "op8_fm_decontaminate": decontaminate.op8_fm_decontaminate,
+    "op10_piece_ids": pieces.op10_piece_ids,
     "op9_ring_shards": sharding.op9_ring_shards,
 }
 
