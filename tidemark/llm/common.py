@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -27,13 +28,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder and read from there, so lost executors cost no lineage.
+def _checkpoint_dir(spark: SparkSession) -> str:
+    """A folder of this application's own below the one that all executors share.
 
-    The folder is the session's spark.checkpoint.dir; a temporary one is made only where none is set
+    The latter is the session's spark.checkpoint.dir; a temporary one is made only where none is set
     and the master is local, as in tests.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -42,9 +42,28 @@ def checkpoint(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df, written to the shared checkpoint folder and read from there, so lost executors cost no lineage.
+
+    Spark deletes the files with the DataFrame where spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
+    _checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as Parquet in the shared checkpoint folder: for wide rows of which later steps read some columns.
+
+    The files stay until the checkpoint folder is cleared, since later actions read them.
+    """
+    path = f"{_checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of batch whose texts in column come to about `most` bytes, at least one row each."""
     if batch.num_rows == 0:

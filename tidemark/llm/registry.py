@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, decontaminate, langid, pieces, quality, sharding, simhash, tokens
+from tidemark.llm import chat, decontaminate, langid, pieces, quality, sharding, simhash, substring, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": chat.op1_chat_format,
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_simhash_groups": simhash.op3_simhash_groups,
+    "op4_substring_dedup": substring.op4_substring_dedup,
     "op5_language_mixture": langid.op5_language_mixture,
     "op7_token_counts": tokens.op7_token_counts,
     "op8_fm_decontaminate": decontaminate.op8_fm_decontaminate,
