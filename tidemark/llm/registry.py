@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, decontaminate, langid, pieces, quality, sharding, simhash, substring, tokens
+from tidemark.llm import chat, decontaminate, langid, licenses, pieces, quality, sharding, simhash, substring, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": chat.op1_chat_format,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_groups": simhash.op3_simhash_groups,
     "op4_substring_dedup": substring.op4_substring_dedup,
     "op5_language_mixture": langid.op5_language_mixture,
+    "op6_license_scan": licenses.op6_license_scan,
     "op7_token_counts": tokens.op7_token_counts,
     "op8_fm_decontaminate": decontaminate.op8_fm_decontaminate,
     "op10_piece_ids": pieces.op10_piece_ids,
