@@ -18,17 +18,19 @@ ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 CHUNK_BYTES = 8 << 20
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """The table at sf_dir, by Spark's reader alone, so that any store it knows will do.
-
-    In local mode, Python workers are told where this package is; a cluster gets it by --py-files or an image.
-    """
+def ship(spark: SparkSession) -> None:
+    """Tells the Python workers of local mode where this package is; a cluster gets it by --py-files or an image."""
     if spark.sparkContext.master.startswith("local["):
         spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """The table at sf_dir, by Spark's reader alone, so that any store it knows will do."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _checkpoint_dir(spark: SparkSession) -> str:
+def checkpoint_dir(spark: SparkSession) -> str:
     """A folder of this application's own below the one that all executors share.
 
     The latter is the session's spark.checkpoint.dir; a temporary one is made only where none is set
@@ -50,7 +52,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
     Spark deletes the files with the DataFrame where spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
-    _checkpoint_dir(df.sparkSession)
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -59,7 +61,7 @@ def stored(df: DataFrame) -> DataFrame:
 
     The files stay until the checkpoint folder is cleared, since later actions read them.
     """
-    path = f"{_checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -153,6 +153,19 @@ def taught(docs: DataFrame) -> Model:
     return learn(docs.where(F.col("doc_id").isNotNull() & ~held_out()))
 
 
+def accepted(docs: DataFrame, model: Model, least: float = 0.4) -> DataFrame:
+    """docs with its columns: the rows whose language is determined, with at least that share of the text.
+
+    A model of no languages, from documents without any lang, rejects only texts without letters.
+    """
+    found = identify(docs.withColumnsRenamed({"lang_pred": "__lang_pred", "score": "__score"}), model)
+    if model.languages:
+        found = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
+    else:
+        found = found.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
+    return found.drop("lang_pred", "score").withColumnsRenamed({"__lang_pred": "lang_pred", "__score": "score"})
+
+
 def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of all documents."""
     docs = read(spark, sf_dir, "documents")

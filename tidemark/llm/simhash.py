@@ -16,7 +16,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ASCII_LOWER, chunks, read, texts
+from tidemark.llm import minhash
+from tidemark.llm.common import ASCII_LOWER, chunks, read, stored, texts
 from tidemark.llm.common import checkpoint as written
 from tidemark.llm.components import components
 
@@ -125,6 +126,15 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     return pairs.union(tied)
 
 
+def _grouped(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id of rows (doc_id, fp) whose fingerprints the edges (a, b) link."""
+    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    found = components(edges)
+    roots = written(least.join(found, least["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root")))
+    named = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.join(roots.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
 def near_groups(docs: DataFrame, size: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id of each row: the least doc_id that a chain of links reaches.
 
@@ -134,13 +144,68 @@ def near_groups(docs: DataFrame, size: int = 3, radius: int = 2, id_col: str = "
     ignored. Copies are counted once per fingerprint before anything is compared.
     """
     rows = written(fingerprinted(docs, size, id_col, text_col))
-    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(links(least.select("fp"), radius))
-    roots = least.join(found, least["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    roots = written(roots)
-    named = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = roots.join(named, "root").select("fp", "component_id")
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return _grouped(rows, links(rows.select("fp").distinct(), radius))
+
+
+_SETS = "doc_id {}, fp long, hash long, bands array<long>, shingles array<int>"
+
+
+def _sets(docs: DataFrame) -> DataFrame:
+    """The fingerprint of three-word shingles, and the bands and the set of five-word shingles, of each row."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text", 1 << 20):
+                found = texts(part, "text")
+                fps = fingerprints([np.array(shingle_hashes(t, 3), dtype=np.uint64) for t in found]).view(np.int64)
+                own = [np.array(shingle_hashes(t, minhash.SHINGLE), dtype=np.uint64) for t in found]
+                full = [i for i, h in enumerate(own) if len(h)]
+                keys = minhash.band_keys(np.concatenate([own[i] for i in full]), np.array([len(own[i]) for i in full])) if full else []
+                bands = dict(zip(full, keys, strict=True))
+                sets = [np.unique(minhash.short(h)) for h in own]
+                hashes = [xxhash.xxh64_intdigest(s.tobytes() + f.tobytes(), 9) for s, f in zip(sets, fps, strict=True)]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "doc_id": part["doc_id"],
+                        "fp": pa.array(fps),
+                        "hash": pa.array(np.array(hashes, dtype=np.uint64).view(np.int64)),
+                        "bands": pa.array([bands.get(i) for i in range(len(found))], pa.list_(pa.int64())),
+                        "shingles": pa.array(sets, pa.list_(pa.int32())),
+                    }
+                )
+
+    rows = docs.select("doc_id", "text")
+    return rows.mapInArrow(made, _SETS.format(dict(rows.dtypes)["doc_id"]))
+
+
+def near_copies(docs: DataFrame, radius: int = 2) -> DataFrame:
+    """doc_id, fp, component_id as near_groups() gives them, of links that reach further.
+
+    At 64 bits a fingerprint distance of two finds few of the texts whose sets of five-word shingles have a
+    Jaccard similarity of 0.8, which differ in three to nine bits; no covering of that radius is small.
+    So the fingerprints that MinHash bands of five-word shingles bring together are linked too where their
+    exact similarity is 0.8 or more.
+    """
+    rows = stored(_sets(docs))
+    distinct = rows.groupBy("hash").agg(F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("shingles").alias("shingles"))
+    distinct = stored(distinct)
+    similar = minhash.similar_links(distinct.where("bands IS NOT NULL"))
+    for end in "ab":
+        similar = similar.join(distinct.select(F.col("hash").alias(end), F.col("fp").alias(f"fp_{end}")), end)
+    fps = written(rows.select("doc_id", "fp"))
+    edges = links(fps.select("fp").distinct(), radius).union(similar.select("fp_a", "fp_b"))
+    return _grouped(fps, edges)
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """docs with its columns: of each component of groups, the document whose doc_id names it.
+
+    Rows of one doc_id are one document, of which one row stays.
+    """
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+    kept = written(kept)
+    left = docs.join(kept.select(F.col("doc_id").alias("__kept")), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    return left.dropDuplicates(["doc_id"]) if kept.where("n > 1").take(1) else left
 
 
 def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
