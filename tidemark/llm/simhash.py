@@ -187,9 +187,8 @@ def near_copies(docs: DataFrame, radius: int = 2) -> DataFrame:
     exact similarity is 0.8 or more.
     """
     rows = stored(_sets(docs))
-    distinct = rows.groupBy("hash").agg(F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("shingles").alias("shingles"))
-    distinct = stored(distinct)
-    similar = minhash.similar_links(distinct.where("bands IS NOT NULL"))
+    distinct = stored(rows.groupBy("hash").agg(F.count("*").alias("n"), F.min("fp").alias("fp")))
+    similar = minhash.similar_links(rows.where("bands IS NOT NULL").select("hash", "bands", "shingles"), distinct.select("hash", "n"))
     for end in "ab":
         similar = similar.join(distinct.select(F.col("hash").alias(end), F.col("fp").alias(f"fp_{end}")), end)
     fps = written(rows.select("doc_id", "fp"))
