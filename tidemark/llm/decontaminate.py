@@ -185,16 +185,16 @@ def cleaned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     n_chars, where docs has it, becomes the new text's. Rows that no window hits stay as they are.
     """
-    found = contaminated(docs, benchmark)
-    names = docs.columns
+    aside = {c: f"__{c}" if c in ("n_words", "spans", "items") else c for c in docs.columns}
+    found = contaminated(docs.withColumnsRenamed(aside), benchmark)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
                 lost = [[(s["start"], s["end"]) for s in x] for x in part["spans"].to_pylist()]
                 new = [without(t, s) if s else t for t, s in zip(part["text"].to_pylist(), lost, strict=True)]
-                columns = {k: part[k] for k in names} | {"text": pa.array(new, part["text"].type)}
-                if "n_chars" in names:
+                columns = {k: part[kept] for k, kept in aside.items()} | {"text": pa.array(new, part["text"].type)}
+                if "n_chars" in aside:
                     old = part["n_chars"].to_pylist()
                     columns["n_chars"] = pa.array([len(t) if s else n for t, s, n in zip(new, lost, old, strict=True)], part["n_chars"].type)
                 kept = pa.array([not s or bool(words(t.encode())) for t, s in zip(new, lost, strict=True)], pa.bool_())

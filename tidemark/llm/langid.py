@@ -153,7 +153,7 @@ def taught(docs: DataFrame) -> Model:
     return learn(docs.where(F.col("doc_id").isNotNull() & ~held_out()))
 
 
-def accepted(docs: DataFrame, model: Model, least: float = 0.4) -> DataFrame:
+def accepted(docs: DataFrame, model: Model, least: float = 0.25) -> DataFrame:
     """docs with its columns: the rows whose language is determined, with at least that share of the text.
 
     A model of no languages, from documents without any lang, rejects only texts without letters.

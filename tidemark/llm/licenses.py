@@ -1,9 +1,10 @@
 """Licence scans by conditional compression.
 
-Lines with a cue word, and those between near ones, are candidate blocks. Each block is compressed alone
-and with each template as a raw zstandard dictionary; the share of the template's information that the
-dictionary saves ranks the templates, and those that rank are confirmed by the exact word edit distance
-between the template and its best place in the block.
+Lines with a cue word, and those between near ones, are candidate blocks. Every template holds a cue, so
+a notice lies within the template's length of one. These words of a block are compressed alone and with
+the template as a raw zstandard dictionary; the share of the template's information that the dictionary
+saves ranks the templates, and those that rank are confirmed by the exact word edit distance between the
+template and its best place.
 """
 
 from __future__ import annotations
@@ -20,12 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.common import chunks, read, texts
 from tidemark.llm.license_texts import TEMPLATES
 
-#: Every template has one of these.
-CUES = re.compile(rb"licen[cs]e|permission|copyright|redistribution|public domain|spdx", re.I)
+#: Every template has a word with one of these in it.
+CUES = re.compile(rb"licen[cs]e|permission|copyright|redistribut|unencumbered|spdx", re.I)
 #: Lines between two lines with cues that still join them into one block.
 GAP = 4
-#: Words of a block that are compared at once; longer blocks are cut into parts that overlap by LAP.
-PART, LAP = 1200, 400
 #: The share of a template's information that makes it a candidate, and of its words that may differ.
 RANKED, DIFFERENT = 0.3, 0.1
 
@@ -100,27 +99,36 @@ def scan(text: bytes | None, known: list[Template]) -> tuple[int, list[tuple[str
     spans = blocks(text) if text else []
     for start, end in spans:
         places = [(m.start() + start, m.end() + start, m[0]) for m in _WORD.finditer(text[start:end].lower())]
-        for k in range(0, max(1, len(places) - LAP), PART - LAP):
-            _confirm(places[k : k + PART], known, found)
-    return len(spans), sorted(set(found), key=lambda f: (f[1], f[2], f[0]))
-
-
-def _confirm(places: list[tuple[int, int, bytes]], known: list[Template], found: list) -> None:
-    words = [w for _, _, w in places]
-    text = b" ".join(words)
-    alone = _size(text)
-    ranked = sorted(((alone - _size(text, t.dictionary)) / t.saving, i) for i, t in enumerate(known))
-    taken: list[tuple[int, int]] = []
-    tried = []
-    for share, i in reversed(ranked):
-        if share >= RANKED:
-            n, start, end = differences(known[i].words, words)
-            if n <= DIFFERENT * len(known[i].words):
-                tried.append((n / len(known[i].words), -len(known[i].words), start, end, n, i))
-    for _, _, start, end, n, i in sorted(tried):
-        if all(end <= s or e <= start for s, e in taken):
-            taken.append((start, end))
-            found.append((known[i].name, places[start][0], places[end - 1][1], n))
+        found += [(known[i].name, places[s][0], places[e - 1][1], n) for s, e, n, i in _notices([w for _, _, w in places], known)]
+    return len(spans), sorted(found, key=lambda f: (f[1], f[2], f[0]))
+
+
+def _notices(words: list[bytes], known: list[Template]) -> list[tuple[int, int, int, int]]:
+    """(start, end, differences, template) of the notices in a block's words; of overlapping ones the best."""
+    candidates = set()
+    for cue in (k for k, w in enumerate(words) if CUES.search(w)):
+        alone: dict[int, tuple[bytes, int]] = {}
+        ranked = []
+        for i, t in enumerate(known):
+            size = len(t.words)
+            if size not in alone:
+                near = b" ".join(words[max(0, cue - size) : cue + size + 1])
+                alone[size] = near, _size(near)
+            near, own = alone[size]
+            ranked.append(((own - _size(near, t.dictionary)) / t.saving, i))
+        for share, i in sorted(ranked, reverse=True):
+            if share < RANKED:
+                break
+            size = len(known[i].words)
+            low = max(0, cue - size)
+            n, start, end = differences(known[i].words, words[low : cue + size + 1])
+            if n <= DIFFERENT * size:
+                candidates.add((n / size, -size, low + start, low + end, n, i))
+    taken: list[tuple[int, int, int, int]] = []
+    for _, _, start, end, n, i in sorted(candidates):
+        if all(end <= s or e <= start for s, e, _, _ in taken):
+            taken.append((start, end, n, i))
+    return taken
 
 
 SCHEMA = "n_blocks long, licenses array<string>, notices array<struct<license: string, start: long, end: long, differences: long>>"
@@ -132,7 +140,7 @@ def scanned(docs: DataFrame, wordings: dict[str, list[str]] = TEMPLATES) -> Data
     notices have the byte span of each confirmed wording in the whole text and the words by which it
     differs; of overlapping ones the closest counts, then the longest. licenses are their distinct names in
     order. A null or blank text has none; null ids and repeated rows stay; an empty table gives no rows;
-    other columns are ignored. Blocks of any length are taken in overlapping parts.
+    other columns are ignored. Work grows with the cues, so texts of any length are scanned whole.
     """
     notice = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("differences", pa.int64())]))
 

@@ -172,7 +172,7 @@ class PieceModel:
         return self._spelled(word, [x for x, g in zip(ids, gone, strict=True) if not g])
 
     def _best(self, words: list[str]) -> list[list[int]]:
-        """Unigram Viterbi of words of one length."""
+        """Unigram Viterbi of words of one length; of equal scores the path whose last piece is longest."""
         codes = _codes(words)
         hashed = _hashes(codes)
         n, width = codes.shape
@@ -181,7 +181,7 @@ class PieceModel:
         value[:, 0] = 0
         size_at, piece_at = np.zeros((n, width + 1), dtype=np.int64), np.full((n, width + 1), -1)
         for end in range(1, width + 1):
-            for size in range(1, min(end, self.longest) + 1):
+            for size in range(min(end, self.longest), 0, -1):
                 keys, wanted, ids = self.table[size - 1]
                 start = end - size
                 with np.errstate(over="ignore"):
