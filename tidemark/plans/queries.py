@@ -286,7 +286,7 @@ runs AS (
   FROM ranges a JOIN ranges b ON a."start" <= b."start"
 ), scored AS (
   SELECT first, last, f - rf + 1 AS net_files, rp - rt AS written, sqrt(pow((f - rf + 1) / f, 2) + pow((p - rt) / p, 2) + pow((rp - rt) / p, 2)) AS norm,
-         ((p - t) / p < {segments.LEAST_OCCUPANCY + 0.2} OR f > 6) AND f - rf + 1 <= 6 AND ((p - rt) - (t - rt)) / (p - rt) >= {segments.LEAST_OCCUPANCY} AS ok
+         ((p - t) / p < {segments.LEAST_OCCUPANCY} OR f > 6) AND f - rf + 1 <= 6 AND ((p - rt) - (t - rt)) / (p - rt) >= {segments.LEAST_OCCUPANCY} AS ok
   FROM runs, whole
 )"""
 
