@@ -138,21 +138,37 @@ def lookup(working: DataFrame, requests: DataFrame) -> DataFrame:
     return joined.withColumn("status", F.when(F.col("found"), "OK").otherwise("ItemNotDequeued")).drop("found")
 
 
+def placed(items: DataFrame, width_ms: int = 3_600_000) -> DataFrame:
+    """items with their rank from 1 in their queue's key order.
+
+    Ranks are counted within spans of deadlines and raised by the counts of earlier spans, so a queue with a
+    third of all items is sorted by many tasks; only the spans' counts of a queue meet in one.
+    """
+    spanned = items.withColumn("__span", F.expr(f"deadline_ms div {width_ms}"))
+    earlier = Window.partitionBy("queue").orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    counts = spanned.groupBy("queue", "__span").agg(F.count("*").alias("__n"))
+    before = counts.select("queue", "__span", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    local = F.row_number().over(Window.partitionBy("queue", "__span").orderBy("deadline_ms", "id"))
+    ranked = spanned.withColumn("__local", local).join(before, ["queue", "__span"])
+    return ranked.withColumn("rank", F.col("__before") + F.col("__local")).drop("__span", "__local", "__before")
+
+
 def deal(items: DataFrame, dequeues: DataFrame) -> DataFrame:
     """Items of each queue dealt out greedily to its dequeues (seq, queue, count) in order of seq.
 
     One ranking of the ready items serves all dequeues of a queue: a dequeue takes the ranks after those
-    that earlier ones asked for.
+    that earlier ones asked for. As it asks for BATCH at most, it meets the ranks of two blocks of BATCH.
     """
     asked = F.least(F.col("count"), F.lit(BATCH))
     before = Window.partitionBy("queue").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     spans = dequeues.select("seq", "queue", asked.alias("asked"), F.coalesce(F.sum(asked).over(before), F.lit(0)).alias("taken"))
-    ranked = items.withColumn("rank", F.row_number().over(Window.partitionBy("queue").orderBy("deadline_ms", "id")))
+    ends = F.array_distinct(F.array(F.expr(f"(taken + 1) div {BATCH}"), F.expr(f"(taken + asked) div {BATCH}")))
+    spans = spans.withColumn("block", F.explode(ends))
+    ranked = placed(items).withColumn("block", F.expr(f"rank div {BATCH}"))
     inside = (F.col("rank") > F.col("taken")) & (F.col("rank") <= F.col("taken") + F.col("asked"))
-    return ranked.join(spans, "queue").where(inside).select("seq", "queue", "rank", *ITEM)
+    return ranked.join(spans, ["queue", "block"]).where(inside).select("seq", "queue", "rank", *ITEM)
 
 
 def drained(items: DataFrame, count: int) -> DataFrame:
     """The dequeue, numbered from 0, that hands out each item when a queue is emptied `count` at a time."""
-    place = F.row_number().over(Window.partitionBy("queue").orderBy("deadline_ms", "id")) - 1
-    return items.withColumn("dequeue", F.floor(place / min(count, BATCH)).cast("long"))
+    return placed(items).withColumn("dequeue", F.expr(f"(rank - 1) div {min(count, BATCH)}")).drop("rank")

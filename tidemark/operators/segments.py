@@ -57,20 +57,22 @@ def compaction(of: DataFrame, most_files: int = MOST_FILES, least_occupancy: flo
 
     Best: the least norm of the shares of files left, of pending entries left and of pending items
     rewritten, among runs after which the files and the occupancy are within bounds. Sums over a run are
-    differences of running sums, so a run is one row of the ranges joined to themselves; of equal norms the
-    earliest and shortest counts.
+    differences of running sums, so a run is one row of the ranges joined to themselves: the ranges of a queue
+    are few, as each is a segment file and compaction bounds those. Of equal norms the earliest and shortest
+    counts.
     """
     ordered = Window.orderBy("start")
+    whole = Window.orderBy("start").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     sums = of.select(
         "start",
         "end",
         F.row_number().over(ordered).alias("i"),
         *(F.sum(c).over(ordered).alias(c) for c in ("files", "pending_count", "tombstone_count")),
         *((F.sum(c).over(ordered) - F.col(c)).alias(f"{c}_before") for c in ("files", "pending_count", "tombstone_count")),
+        *(F.sum(c).over(whole).alias(name) for c, name in (("files", "all_files"), ("pending_count", "all_pending"), ("tombstone_count", "all_tombstones"))),
     )
-    whole = of.agg(F.sum("files").alias("all_files"), F.sum("pending_count").alias("all_pending"), F.sum("tombstone_count").alias("all_tombstones"))
     left = sums.select(F.col("i").alias("a"), F.col("start").alias("first"), *(F.col(f"{c}_before").alias(f"{c}_b") for c in ("files", "pending_count", "tombstone_count")))
-    runs = left.join(sums, F.col("a") <= F.col("i")).crossJoin(F.broadcast(whole))
+    runs = left.join(sums, F.col("a") <= F.col("i"))
     files, pending, tombstones = (F.col(c) - F.col(f"{c}_b") for c in ("files", "pending_count", "tombstone_count"))
     runs = runs.select(
         "a",
