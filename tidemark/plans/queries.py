@@ -60,12 +60,12 @@ def peek_head(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _working(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The live ready items whose id is a multiple of 7 count as dequeued."""
-    return op.ready(_live(spark, sf_dir), NOW_MS).where("id % 7 = 0")
+    """What a dequeue of three has taken from each queue."""
+    return op.first_of_each(op.ready(_live(spark, sf_dir), NOW_MS), 3).drop("rank")
 
 
 @query(
-    f"""WITH {LIVE_SQL}, working AS (SELECT queue, count(*) AS dequeued FROM live WHERE deadline_ms <= {NOW_MS} AND id % 7 = 0 GROUP BY queue),
+    f"""WITH {LIVE_SQL}, working AS (SELECT queue, least(count(*), 3) AS dequeued FROM live WHERE deadline_ms <= {NOW_MS} GROUP BY queue),
     net AS (SELECT queue, count(*) FILTER (kind = 'pending') - count(*) FILTER (kind = 'tombstone') AS net, coalesce(sum(strlen(value)), 0) AS value_bytes FROM log GROUP BY queue)
     SELECT queue, net - coalesce(dequeued, 0) AS pending, coalesce(dequeued, 0) AS dequeued, CAST(value_bytes AS BIGINT) AS value_bytes FROM net LEFT JOIN working USING (queue)"""
 )
@@ -93,27 +93,24 @@ def live_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {LOG_SQL}, part AS (SELECT * FROM log WHERE kind = 'tombstone' OR id % 5 <> 0)
+    f"""WITH {LOG_SQL}, part AS (SELECT * FROM log WHERE kind = 'tombstone' OR id NOT IN (SELECT id FROM first WHERE event_type = 'error'))
     SELECT {ENTRY} FROM part a WHERE NOT EXISTS (
       SELECT 1 FROM part b WHERE b.kind <> a.kind AND b.queue = a.queue AND b.deadline_ms = a.deadline_ms AND b.id = a.id)"""
 )
 def unpaired_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A merge in which a fifth of the pending entries is missing, so that their tombstones stay."""
-    return op.unpaired(tables.log(spark, sf_dir).where("kind = 'tombstone' OR id % 5 <> 0"))
+    """A merge without the segments that hold the errors' pending entries, so that their tombstones stay."""
+    enqueued = tables.items(spark, sf_dir)
+    errors = tables.pending(enqueued.where("event_type = 'error'"))
+    released = op.release(tables.pending(enqueued.where("event_type = 'purchase'")))
+    requeued = op.requeue(errors, F.col("id") + tables.REQUEUE_ID, F.col("deadline_ms") + tables.REQUEUE_DELAY_MS, F.col("deadline_ms"))
+    return op.unpaired(op.merge(tables.pending(enqueued.where("event_type <> 'error'")), released, requeued))
 
 
-@query(
-    f"""WITH {LOG_SQL} SELECT row_number() OVER (ORDER BY deadline_ms, id, CASE kind WHEN 'tombstone' THEN 0 ELSE 1 END, queue) AS place, queue, kind, id, deadline_ms
-    FROM log WHERE segment_id % 4 < 4 ORDER BY place LIMIT 500"""
-)
+@query(f"WITH {LOG_SQL} SELECT {ENTRY} FROM log")
 def kway_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four groups of segments merged in key order; the first 500 entries with their places."""
+    """All segments, in four groups, merged in key order."""
     log = tables.log(spark, sf_dir)
-    merged = op.in_order(op.merge(*(log.where(F.col("segment_id") % 4 == k) for k in range(4)))).limit(500)
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.orderBy("deadline_ms", "id", op.kind_order(), "queue")).cast("long")
-    return merged.select(place.alias("place"), "queue", "kind", "id", "deadline_ms")
+    return op.in_order(op.merge(*(log.where(F.col("segment_id") % 4 == k) for k in range(4))))
 
 
 @query(f"WITH {LIVE_SQL} SELECT {ITEM} FROM live WHERE deadline_ms > {NOW_MS}")
@@ -147,12 +144,12 @@ def release_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {LOG_SQL}, deleted AS (SELECT queue, max(id) AS last FROM items WHERE event_type = 'login' AND CAST(queue AS BIGINT) % 3 = 0 GROUP BY queue)
+    f"""WITH {LOG_SQL}, deleted AS (SELECT queue, max(id) AS last FROM items WHERE event_type = 'signup' GROUP BY queue)
     SELECT {ENTRY} FROM log LEFT JOIN deleted USING (queue) WHERE last IS NULL OR id > last"""
 )
 def queue_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log after every third queue was deleted at its last login."""
-    deletes = tables.items(spark, sf_dir).where("event_type = 'login' AND cast(queue as long) % 3 = 0").select("queue", "id")
+    """The log after each queue was deleted at its last signup."""
+    deletes = tables.items(spark, sf_dir).where("event_type = 'signup'").select("queue", "id")
     return op.undeleted(tables.log(spark, sf_dir), deletes)
 
 
@@ -198,27 +195,27 @@ def replay_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {LIVE_SQL}, asks AS (SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS queue, event_id % 4 + 1 AS asked FROM events WHERE event_id % 10 = 0),
+    f"""WITH {LIVE_SQL}, asks AS (SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS queue, event_id % 4 + 1 AS asked FROM events WHERE event_type = 'click'),
     spans AS (SELECT seq, queue, asked, coalesce(sum(asked) OVER (PARTITION BY queue ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken FROM asks),
     ranked AS (SELECT {ITEM}, row_number() OVER (PARTITION BY queue ORDER BY deadline_ms, id) AS rank FROM live WHERE deadline_ms <= {NOW_MS})
     SELECT seq, {ITEM}, rank FROM ranked JOIN spans USING (queue) WHERE rank > taken AND rank <= taken + asked"""
 )
 def dequeue_deal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ready items dealt out to the dequeues of one batch."""
-    asks = tables.read(spark, sf_dir, "events").where("event_id % 10 = 0")
+    asks = tables.read(spark, sf_dir, "events").where("event_type = 'click'")
     asks = asks.select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("queue"), (F.col("event_id") % 4 + 1).alias("count"))
     return op.deal(op.ready(_live(spark, sf_dir), NOW_MS), asks).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(
-    f"""WITH {LIVE_SQL}, working AS (SELECT * FROM live WHERE deadline_ms <= {NOW_MS} AND id % 7 = 0)
+    f"""WITH {LIVE_SQL}, working AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY queue ORDER BY deadline_ms, id) AS rank FROM live WHERE deadline_ms <= {NOW_MS}) WHERE rank <= 3)
     SELECT e.event_id AS seq, CAST(e.user_id AS VARCHAR) AS queue, e.event_id AS id, w.deadline_ms, w.enqueue_ms, w.requeue_ms, w.dequeue_count, w.value,
     CASE WHEN w.id IS NULL THEN 'ItemNotDequeued' ELSE 'OK' END AS status
-    FROM events e LEFT JOIN working w ON w.queue = CAST(e.user_id AS VARCHAR) AND w.id = e.event_id WHERE e.event_id % 3 = 0"""
+    FROM events e LEFT JOIN working w ON w.queue = CAST(e.user_id AS VARCHAR) AND w.id = e.event_id"""
 )
 def working_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Working items by id, and a status for each request."""
-    events = tables.read(spark, sf_dir, "events").where("event_id % 3 = 0")
+    events = tables.read(spark, sf_dir, "events")
     requests = events.select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("queue"), F.col("event_id").alias("id"))
     return op.lookup(_working(spark, sf_dir), requests)
 
@@ -260,13 +257,13 @@ def range_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {LOG_SQL}, meta AS (SELECT user_id % 50 AS segment_id, count(*) AS pending_count, count(*) FILTER (event_type <> 'view' OR event_id % 40 > 0) AS tombstone_count FROM events GROUP BY 1)
+    """WITH meta AS (SELECT event_id // 5 AS segment_id, count(*) AS pending_count, count(*) FILTER (event_type <> 'view') AS tombstone_count FROM events GROUP BY 1)
     SELECT segment_id, pending_count, tombstone_count FROM meta WHERE pending_count = tombstone_count"""
 )
 def exhausted_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranges, here by users, all of whose items are cancelled when nearly all are."""
-    events = tables.read(spark, sf_dir, "events").withColumn("segment_id", F.col("user_id") % 50)
-    gone = events.where("event_type <> 'view' OR event_id % 40 > 0")
+    """Ranges of five ids whose items are all cancelled when all but the views are."""
+    events = tables.read(spark, sf_dir, "events").withColumn("segment_id", F.expr("event_id div 5"))
+    gone = events.where("event_type <> 'view'")
     log = events.select("segment_id", F.lit(tables.PENDING).alias("kind")).unionByName(gone.select("segment_id", F.lit(tables.TOMBSTONE).alias("kind")))
     return segments.exhausted(segments.metadata(log))
 
@@ -360,12 +357,14 @@ def sizes_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT event_id AS id, CASE WHEN event_id < 4 * 1429 THEN event_id // 1429 ELSE 4 + (event_id - 4 * 1429) // 1428 END AS part, event_id // 100 AS batch FROM events WHERE event_id < 10000"""
+    """WITH n AS (SELECT count(*) // 7 AS size, count(*) % 7 AS more FROM events), placed AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events)
+    SELECT event_id AS id, CASE WHEN i < more * (size + 1) THEN i // (size + 1) ELSE more + (i - more * (size + 1)) // size END AS part, i // 100 AS batch FROM placed, n"""
 )
 def even_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """10,000 things in seven even parts and in batches of 100."""
-    events = tables.read(spark, sf_dir, "events").where("event_id < 10000")
-    return events.select(F.col("event_id").alias("id"), text.even_part(F.col("event_id"), 10_000, 7).alias("part"), F.expr("event_id div 100").alias("batch"))
+    """All events in seven even parts and in batches of 100."""
+    events = tables.read(spark, sf_dir, "events").select(F.lit("").alias("queue"), F.col("event_id").alias("id"), F.col("event_id").alias("deadline_ms"))
+    ranked = op.placed(events, 10_000).withColumn("i", F.col("rank") - 1)
+    return ranked.select("id", text.even_part(F.col("i"), events.count(), 7).alias("part"), F.expr("i div 100").alias("batch"))
 
 
 @query(
