@@ -3,33 +3,86 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Iterator, MutableMapping
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tidemark.streaming.machine import Op, QueueMachine, Response
+from tidemark.streaming.machine import Item, Op, Pending, QueueMachine, Response
 from tidemark.streaming.replay import RESPONSES, frame, op_of
 
 #: State as RocksDB keeps it, which transformWithState needs.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+class _Working(MutableMapping):
+    """Working items in map state, read one by one; ids has them in order of their dequeue."""
+
+    def __init__(self, stored: object, ids: dict[int, None]) -> None:
+        self.stored, self.ids = stored, ids
+
+    def __getitem__(self, id_: int) -> Item:
+        if id_ not in self.ids:
+            raise KeyError(id_)
+        return pickle.loads(self.stored.getValue((id_,))[0])
+
+    def __setitem__(self, id_: int, item: Item) -> None:
+        self.ids[id_] = None
+        self.stored.updateValue((id_,), (pickle.dumps(item),))
+
+    def __delitem__(self, id_: int) -> None:
+        del self.ids[id_]
+        self.stored.removeKey((id_,))
+
+    def popitem(self) -> tuple[int, Item]:
+        id_ = next(reversed(self.ids))
+        return id_, self.pop(id_)
+
+    def __iter__(self) -> Iterator[int]:
+        return iter(self.ids)
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+
 class QueueProcessor(StatefulProcessor):
-    """One queue's machine: keys and counts in one value, payloads in a map that only their own items touch."""
+    """One queue's machine over stored state.
+
+    A small value has the counters, the waiting dequeues, the index of deadline buckets and the working ids;
+    maps have the items of each bucket, the working items and the payloads. A micro-batch reads and writes
+    the buckets and items that its operations touch, however many the queue holds.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("machine", "blob binary")
+        self.buckets = handle.getMapState("pending", "bucket long", "items binary")
+        self.working = handle.getMapState("working", "id long", "item binary")
         self.values = handle.getMapState("values", "id long", "value string")
 
     def _load(self) -> QueueMachine:
-        return pickle.loads(self.state.get()[0]) if self.state.exists() else QueueMachine()
+        fields, index, count, ids = pickle.loads(self.state.get()[0]) if self.state.exists() else ({}, [], 0, {})
+
+        def load(number: int) -> list:
+            return pickle.loads(self.buckets.getValue((number,))[0])
+
+        def save(number: int, items: list) -> None:
+            if items:
+                self.buckets.updateValue((number,), (pickle.dumps(items),))
+            elif self.buckets.containsKey((number,)):
+                self.buckets.removeKey((number,))
+
+        machine = QueueMachine(Pending(load=load, save=save, index=index, count=count), _Working(self.working, ids))
+        for name, value in fields.items():
+            setattr(machine, name, value)
+        return machine
 
     def _save(self, machine: QueueMachine) -> None:
-        self.state.update((pickle.dumps(machine),))
+        machine.pending.flush()
+        fields = {k: getattr(machine, k) for k in ("exists", "next_id", "last", "waiting")}
+        self.state.update((pickle.dumps((fields, machine.pending.index, machine.pending.count, machine.working.ids)),))
         for at in list(self.handle.listTimers()):
             self.handle.deleteTimer(at)
         if (at := machine.wake_at()) is not None:

@@ -7,7 +7,9 @@ operation is plain sequential processing.
 
 from __future__ import annotations
 
+import bisect
 import heapq
+from collections.abc import MutableMapping
 from dataclasses import asdict, dataclass, field
 
 BATCH = 100
@@ -48,20 +50,70 @@ class Item:
     value: str | None
 
 
+class Pending:
+    """Pending items in key order, kept in buckets of deadlines of which only those in use are at hand.
+
+    load and save give and take a bucket's items by its number; by default all buckets stay in memory. The
+    index has the numbers of the buckets that aren't empty.
+    """
+
+    def __init__(self, width_ms: int = 60_000, load=None, save=None, index: list[int] | None = None, count: int = 0) -> None:
+        self.width_ms, self.load, self.save = width_ms, load, save
+        self.index, self.count = list(index or ()), count
+        self.at_hand: dict[int, list[tuple[int, int, Item]]] = {}
+        self.changed: set[int] = set()
+
+    def __len__(self) -> int:
+        return self.count
+
+    def _bucket(self, number: int) -> list[tuple[int, int, Item]]:
+        if number not in self.at_hand:
+            known = bisect.bisect_left(self.index, number)
+            stored = known < len(self.index) and self.index[known] == number
+            if not stored:
+                self.index.insert(known, number)
+            self.at_hand[number] = list(self.load(number)) if stored else []
+        return self.at_hand[number]
+
+    def push(self, item: Item) -> None:
+        number = item.deadline_ms // self.width_ms
+        heapq.heappush(self._bucket(number), (item.deadline_ms, item.id, item))
+        self.changed.add(number)
+        self.count += 1
+
+    def head(self) -> Item | None:
+        return self._bucket(self.index[0])[0][2] if self.index else None
+
+    def pop(self) -> Item:
+        number = self.index[0]
+        bucket = self._bucket(number)
+        item = heapq.heappop(bucket)[2]
+        self.changed.add(number)
+        self.count -= 1
+        if not bucket:
+            del self.index[0], self.at_hand[number]
+        return item
+
+    def flush(self) -> None:
+        """Saves the buckets that have changed; an emptied one as no items."""
+        for number in sorted(self.changed):
+            self.save(number, self.at_hand.get(number, []))
+        self.changed.clear()
+
+
 class QueueMachine:
     """One queue: pending items by key, working items by id in order of their dequeue, waiting dequeues.
 
     Ids are the machine's own counter unless an enqueue names one; they ascend either way. ANY takes the
-    working item that was dequeued last.
+    working item that was dequeued last. pending and working may be views of stored state.
     """
 
-    def __init__(self) -> None:
+    def __init__(self, pending: Pending | None = None, working: MutableMapping[int, Item] | None = None) -> None:
+        self.pending = Pending() if pending is None else pending
+        self.working: MutableMapping[int, Item] = {} if working is None else working
         self.exists = False
         self.next_id = 0
         self.last = (0, 0)
-        self.pending: list[tuple[int, int]] = []
-        self.items: dict[int, Item] = {}
-        self.working: dict[int, Item] = {}
         self.waiting: list[list[int]] = []
 
     def _resolve(self, op: Op, now_ms: int, id_: int, last: tuple[int, int]) -> int:
@@ -69,10 +121,6 @@ class QueueMachine:
         asked = max(asked, last[0])
         return asked + (asked == last[0] and id_ < last[1])
 
-    def _add(self, item: Item) -> None:
-        self.items[item.id] = item
-        heapq.heappush(self.pending, (item.deadline_ms, item.id))
-
     def _new_id(self, wanted: int | None) -> int:
         new = max(self.next_id, 0 if wanted is None else wanted)
         self.next_id = new + 1
@@ -85,9 +133,9 @@ class QueueMachine:
 
     def _dequeue(self, now_ms: int, count: int) -> list[Item]:
         out = []
-        while len(out) < count and self.pending and self.pending[0][0] <= now_ms:
-            self.last = heapq.heappop(self.pending)
-            item = self.items.pop(self.last[1])
+        while len(out) < count and (head := self.pending.head()) and head.deadline_ms <= now_ms:
+            item = self.pending.pop()
+            self.last = (item.deadline_ms, item.id)
             item.dequeue_count += 1
             self.working[item.id] = item
             out.append(item)
@@ -104,15 +152,15 @@ class QueueMachine:
             early, batch = batch[:first], batch[first:]
             self.exists = True
         out += [Response(o.seq, NO_QUEUE) for o in early]
-        looked = any(o.op == "peek" for o in batch) and self.pending
-        head = asdict(self.items[self.pending[0][1]]) if looked else None
-        stored, last = len(self.items) + len(self.working), self.last
+        head = self.pending.head() if any(o.op == "peek" for o in batch) else None
+        head = asdict(head) if head else None
+        stored, last = len(self.pending) + len(self.working), self.last
         dequeues, info = [], None
         for op in batch:
             if op.op == "enqueue":
                 new = self._new_id(op.id)
                 item = Item(new, self._resolve(op, now_ms, new, last), now_ms, 0, 0, op.value)
-                self._add(item)
+                self.pending.push(item)
                 out.append(Response(op.seq, OK, item.id, item.deadline_ms))
             elif op.op in ("requeue", "release"):
                 item = self._taken(op)
@@ -123,7 +171,7 @@ class QueueMachine:
                 else:
                     due = self._resolve(op, now_ms, item.id, last)
                     again = Item(self._new_id(None), due, item.enqueue_ms, now_ms, item.dequeue_count, item.value)
-                    self._add(again)
+                    self.pending.push(again)
                     out.append(Response(op.seq, OK, again.id, due))
             elif op.op == "peek":
                 out.append(Response(op.seq, OK if head else NOT_READY, items=[head] if head else []))
@@ -147,17 +195,19 @@ class QueueMachine:
                 self.waiting.append([seq, count, until])
         if any(o.op == "delete" for o in batch):
             out += [Response(seq, NOT_READY) for seq, _, _ in self.waiting]
-            ids = self.next_id
-            self.__init__()
-            self.next_id = ids
+            while len(self.pending):
+                self.pending.pop()
+            while len(self.working):
+                self.working.popitem()
+            self.exists, self.last, self.waiting = False, (0, 0), []
         return out
 
     def wake_at(self) -> int | None:
         """When something happens without an operation: a waiting dequeue ends, or an item is due for it."""
         if not self.waiting:
             return None
-        times = [w[2] for w in self.waiting] + ([self.pending[0][0]] if self.pending else [])
-        return min(times)
+        head = self.pending.head()
+        return min([w[2] for w in self.waiting] + ([head.deadline_ms] if head else []))
 
     def run_until(self, now_ms: int) -> list[Response]:
         """The responses of all timers up to now_ms, each at its own time."""
