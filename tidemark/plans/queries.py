@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import binary, text
@@ -194,6 +194,48 @@ def replay_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("queue", "seq", F.col("item").cast("long").alias("item"), "i.id", "i.deadline_ms", F.col("i.dequeue_count").cast("long").alias("dequeue_count"))
 
 
+def _ops(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows as operations; columns that aren't given are null."""
+    return rows.select(*(columns.get(c, F.lit(None)).cast(t).alias(c) for c, t in (x.split() for x in replay.OPS.split(", "))))
+
+
+@query(
+    """WITH t AS (SELECT CAST(user_id AS VARCHAR) AS queue, event_id AS seq, event_type, min(event_id) FILTER (event_type = 'click') OVER (PARTITION BY user_id) AS first FROM events)
+    SELECT queue, seq, CASE WHEN seq >= first THEN 'OK' ELSE 'NoSuchQueue' END AS status FROM t"""
+)
+def replay_existence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks enqueue and all other events peek: a queue exists from its first enqueue on."""
+    op_name = F.when(F.col("event_type") == "click", "enqueue").otherwise("peek")
+    ops = _ops(tables.items(spark, sf_dir), seq=F.col("id"), batch_id=F.col("id"), now_ms=F.col("enqueue_ms"), queue=F.col("queue"), op=op_name, value=F.col("value"))
+    return replay.replay(ops).select("queue", "seq", "status")
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS queue, count(*) - least(count(*), 5) + 1 AS pending, least(count(*), 5) - 3 AS dequeued FROM events GROUP BY user_id HAVING count(*) >= 3""")
+def replay_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All items enqueued, five taken, two released, one requeued; then what info says."""
+    enqueued = tables.items(spark, sf_dir)
+    later, after = 1_900_000_000_000, 1 << 40
+    first = _ops(enqueued, seq=F.col("id"), batch_id=F.col("id"), now_ms=F.col("enqueue_ms"), queue=F.col("queue"), op=F.lit("enqueue"), value=F.col("value"))
+    acts = F.explode(F.array(*(F.struct(F.lit(after + i).alias("seq"), F.lit(name).alias("op")) for i, name in enumerate(("dequeue", "release", "release", "requeue", "info"))))).alias("act")
+    full = enqueued.groupBy("queue").count().where("count >= 3").select("queue", acts)
+    then = _ops(full, seq=F.col("act.seq"), batch_id=F.col("act.seq"), now_ms=F.lit(later), queue=F.col("queue"), op=F.col("act.op"), id_any=F.lit(True), count=F.lit(5))
+    return replay.replay(first.unionByName(then)).where(f"seq = {after + 4}").select("queue", "pending", "dequeued")
+
+
+@query(
+    f"""WITH {ITEMS_SQL}, firsts AS (SELECT queue, min(id) AS id, arg_min(deadline_ms - enqueue_ms, id) AS wait FROM items GROUP BY queue)
+    SELECT queue, CASE WHEN wait <= 100000 THEN 'OK' ELSE 'NoItemReady' END AS status, CASE WHEN wait <= 100000 THEN id END AS id FROM firsts"""
+)
+def replay_blocking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dequeue that waits up to 100 seconds for each queue's first item."""
+    firsts = tables.items(spark, sf_dir).groupBy("queue").agg(F.min_by(F.struct("id", "enqueue_ms", "deadline_ms"), "id").alias("i")).select("queue", "i.*")
+    shared = {"now_ms": F.col("enqueue_ms"), "queue": F.col("queue")}
+    put = _ops(firsts, seq=F.lit(0), batch_id=F.lit(0), op=F.lit("enqueue"), id=F.col("id"), deadline_kind=F.lit("absolute"), deadline_arg_ms=F.col("deadline_ms"), **shared)
+    wait = _ops(firsts, seq=F.lit(1), batch_id=F.lit(1), op=F.lit("dequeue"), timeout_ms=F.lit(100_000), **shared)
+    got = replay.replay(put.unionByName(wait)).where("seq = 1")
+    return got.select("queue", "status", F.get("items", F.lit(0))["id"].alias("id"))
+
+
 @query(
     f"""WITH {LIVE_SQL}, asks AS (SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS queue, event_id % 4 + 1 AS asked FROM events WHERE event_type = 'click'),
     spans AS (SELECT seq, queue, asked, coalesce(sum(asked) OVER (PARTITION BY queue ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken FROM asks),
