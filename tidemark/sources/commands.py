@@ -36,8 +36,12 @@ REPLIES = {
 
 def parse_commands(lines: DataFrame, text: str = "command") -> DataFrame:
     """The operations of lines of words separated by spaces; other columns stay."""
-    words = F.split(F.trim(F.col(text)), " +")
-    out = lines.withColumn("__w", words).withColumn("__n", F.size("__w") - 1).withColumn("op", F.upper(F.get("__w", F.lit(0))))
+    return parse_words(lines.withColumn("__words", F.split(F.trim(F.col(text)), " +")), "__words")
+
+
+def parse_words(rows: DataFrame, words: str) -> DataFrame:
+    """The operations of arrays of words, which may hold any characters; other columns stay."""
+    out = rows.withColumnRenamed(words, "__w").withColumn("__n", F.size("__w") - 1).withColumn("op", F.upper(F.get("__w", F.lit(0))))
 
     def word(i: int) -> Column:
         return F.get("__w", F.lit(i))
