@@ -21,7 +21,7 @@ from tidemark.llm.common import ASCII_LOWER, chunks, read, texts
 from tidemark.llm.fmindex import FMIndex
 
 WINDOW = 10
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Bytes of benchmark text that one pass over the documents searches for.
 BLOCK_BYTES = 32 << 20
 
@@ -125,29 +125,38 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, te
     or no hits. Of the benchmark, a block of bounded size is searched for in one pass; a larger benchmark
     takes a pass for each block, each adding to the spans and items before it.
     """
-    spark = docs.sparkSession
     docs = docs.drop("n_words", "spans", "items")
+    return _searched(docs, benchmark, window, text_col, None)
+
+
+def _searched(docs: DataFrame, benchmark: DataFrame, window: int, text_col: str, names: dict[str, str] | None) -> DataFrame:
+    """docs with what all blocks of the benchmark find; with names, the cleaned columns of those names instead, from the last pass."""
     schema = ", ".join([*(f"`{c.replace('`', '``')}` {t}" for c, t in docs.dtypes), FOUND])
-    out = None
-    for block in _blocks(benchmark):
-        wanted = spark.sparkContext.broadcast(phrases(block, window))
-        out = (docs if out is None else out).mapInArrow(_pass(wanted, text_col), schema)
+    blocks = _blocks(benchmark)
+    out = docs
+    for number, block in enumerate(blocks, 1):
+        wanted = docs.sparkSession.sparkContext.broadcast(phrases(block, window))
+        last = number == len(blocks) and names is not None
+        kept = ", ".join(f"`{c.replace('`', '``')}` {dict(docs.dtypes)[old]}" for c, old in names.items()) if last else schema
+        out = out.mapInArrow(_pass(wanted, text_col, names if last else None), kept)
     return out
 
 
-def _pass(wanted, text_col: str):
+def _pass(wanted, text_col: str, names: dict[str, str] | None):
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, text_col, SHARD_BYTES):
                 sizes, spans, items = hits(texts(part, text_col), wanted.value)
-                names = part.schema.names
-                if "spans" in names:
+                if "spans" in part.schema.names:
                     for i, (old, ids) in enumerate(zip(part["spans"].to_pylist(), part["items"].to_pylist(), strict=True)):
                         both = np.array(sorted([*((s["start"], s["end"]) for s in old), *spans[i]]), dtype=np.int64).reshape(-1, 2)
                         spans[i], items[i] = _merged(both[:, 0], both[:, 1]), sorted({*ids, *items[i]})
-                columns = {k: part[k] for k in names if k not in ("n_words", "spans", "items")}
+                if names is not None:
+                    yield _cut(part, spans, names)
+                    continue
+                columns = {k: part[k] for k in part.schema.names if k not in ("n_words", "spans", "items")}
                 columns["n_words"] = pa.array(sizes, pa.int64())
                 columns["spans"] = pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], span)
                 columns["items"] = pa.array(items, pa.list_(pa.string()))
@@ -156,6 +165,17 @@ def _pass(wanted, text_col: str):
     return passed
 
 
+def _cut(part: pa.RecordBatch, spans: list[list[tuple[int, int]]], names: dict[str, str]) -> pa.RecordBatch:
+    """The columns of those names, without the words of the spans; rows that lose all their words are left out."""
+    new = [without(t, s) if s else t for t, s in zip(part["text"].to_pylist(), spans, strict=True)]
+    columns = {k: part[old] for k, old in names.items()} | {"text": pa.array(new, part["text"].type)}
+    if "n_chars" in names:
+        old = part["n_chars"].to_pylist()
+        columns["n_chars"] = pa.array([len(t) if s else n for t, s, n in zip(new, spans, old, strict=True)], part["n_chars"].type)
+    kept = pa.array([not s or bool(words(t.encode())) for t, s in zip(new, spans, strict=True)], pa.bool_())
+    return pa.RecordBatch.from_pydict(columns).filter(kept)
+
+
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
@@ -170,6 +190,15 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*kept, raw[since:]]).decode()
 
 
+def cleaned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs with its columns, the words of the benchmark's windows cut out of text; documents left without a word are dropped.
+
+    n_chars, where docs has it, becomes the new text's. Rows that no window hits stay as they are.
+    """
+    aside = {c: f"__{c}" if c in ("n_words", "spans", "items") else c for c in docs.columns}
+    return _searched(docs.withColumnsRenamed(aside), benchmark, WINDOW, "text", aside)
+
+
 def op8_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents and what the benchmark's windows hit in them."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -180,29 +209,6 @@ def op8_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def cleaned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs with its columns, the words of the benchmark's windows cut out of text; documents left without a word are dropped.
-
-    n_chars, where docs has it, becomes the new text's. Rows that no window hits stay as they are.
-    """
-    aside = {c: f"__{c}" if c in ("n_words", "spans", "items") else c for c in docs.columns}
-    found = contaminated(docs.withColumnsRenamed(aside), benchmark)
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunks(batch, "text"):
-                lost = [[(s["start"], s["end"]) for s in x] for x in part["spans"].to_pylist()]
-                new = [without(t, s) if s else t for t, s in zip(part["text"].to_pylist(), lost, strict=True)]
-                columns = {k: part[kept] for k, kept in aside.items()} | {"text": pa.array(new, part["text"].type)}
-                if "n_chars" in aside:
-                    old = part["n_chars"].to_pylist()
-                    columns["n_chars"] = pa.array([len(t) if s else n for t, s, n in zip(new, lost, old, strict=True)], part["n_chars"].type)
-                kept = pa.array([not s or bool(words(t.encode())) for t, s in zip(new, lost, strict=True)], pa.bool_())
-                yield pa.RecordBatch.from_pydict(columns).filter(kept)
-
-    return found.mapInArrow(made, docs.schema)
-
-
 OP8_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id,

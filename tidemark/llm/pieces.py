@@ -22,8 +22,8 @@ from tidemark.llm.common import chunks, read
 SPACE = "▁"
 #: Longer words are merged one by one, in time that grows little faster than their length.
 LONG = 64
-REMEMBERED = 300_000
-BATCH = 1 << 16
+REMEMBERED = 200_000
+BATCH = 1 << 15
 _NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
 _UNIGRAM, _BPE = 1, 2
 _BASE = np.uint64(0x9E3779B97F4A7C15)

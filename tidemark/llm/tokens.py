@@ -22,8 +22,8 @@ from tidemark.llm.common import chunks, read
 
 #: Pre-tokens of a piece of text that are held at once, and merged ones that are remembered.
 HELD = 1 << 18
-REMEMBERED = 300_000
-TEXT_BYTES = 2 << 20
+REMEMBERED = 200_000
+TEXT_BYTES = 1 << 20
 
 
 class WholeTokenCounter:
