@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -59,16 +60,39 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, used: list[str] | None = None) -> DataFrame:
     """df as Parquet in the shared checkpoint folder: for wide rows of which later steps read some columns.
 
-    The files stay until the checkpoint folder is cleared, since later actions read them.
+    The path goes into `used`, whose owner gives it to discard() once all that reads it has been written
+    elsewhere; otherwise the files stay until the checkpoint folder is cleared.
     """
     path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if used is not None:
+        used.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints of DataFrames that are gone.
+
+    It does so once the driver's collectors have found them, which a driver with memory to spare puts off
+    for a long time; a step of many rounds calls this after each, or all rounds' files are kept.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def discard(spark: SparkSession, used: list[str]) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    release(spark)
+    jvm = spark.sparkContext._jvm
+    for path in used:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    used.clear()
+
+
 def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of batch whose texts in column come to about `most` bytes, at least one row each.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint
+from tidemark.llm.common import checkpoint, release
 
 
 def _lowest(edges: DataFrame) -> DataFrame:
@@ -36,5 +36,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = small.select(F.explode(F.array(F.struct(F.col("low").alias("high"), F.col("parent").alias("low")), F.struct("high", F.col("parent").alias("low")))).alias("e"))
         edges = checkpoint(small.select("e.high", "e.low").where("high != low").distinct())
         before, state = state, _state(edges)
+        del parents, large, small
+        release(edges.sparkSession)
         if state == before:
             return edges.select(F.col("high").alias("node"), F.col("low").alias("component")).union(edges.select(F.col("low"), F.col("low")).distinct())

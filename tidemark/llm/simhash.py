@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import minhash
-from tidemark.llm.common import ASCII_LOWER, chunks, read, stored, texts
+from tidemark.llm.common import ASCII_LOWER, chunks, discard, read, stored, texts
 from tidemark.llm.common import checkpoint as written
 from tidemark.llm.components import components
 
@@ -186,14 +186,17 @@ def near_copies(docs: DataFrame, radius: int = 2) -> DataFrame:
     So the fingerprints that MinHash bands of five-word shingles bring together are linked too where their
     exact similarity is 0.8 or more.
     """
-    rows = stored(_sets(docs))
-    distinct = stored(rows.groupBy("hash").agg(F.count("*").alias("n"), F.min("fp").alias("fp")))
-    similar = minhash.similar_links(rows.where("bands IS NOT NULL").select("hash", "bands", "shingles"), distinct.select("hash", "n"))
+    used: list[str] = []
+    rows = stored(_sets(docs), used)
+    distinct = stored(rows.groupBy("hash").agg(F.count("*").alias("n"), F.min("fp").alias("fp")), used)
+    similar = minhash.similar_links(rows.where("bands IS NOT NULL").select("hash", "bands", "shingles"), distinct.select("hash", "n"), used)
     for end in "ab":
         similar = similar.join(distinct.select(F.col("hash").alias(end), F.col("fp").alias(f"fp_{end}")), end)
     fps = written(rows.select("doc_id", "fp"))
     edges = links(fps.select("fp").distinct(), radius).union(similar.select("fp_a", "fp_b"))
-    return _grouped(fps, edges)
+    groups = _grouped(fps, edges)
+    discard(docs.sparkSession, used)
+    return groups
 
 
 def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
