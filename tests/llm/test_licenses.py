@@ -1,3 +1,5 @@
+import textwrap
+
 import numpy as np
 
 from tests.llm.data import ODD, SF, clashing, docs, text
@@ -65,3 +67,14 @@ def test_query_finds_the_lines(spark):
     plain = {"Released under the MIT License.": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under the Apache License, Version 2.0.": "Apache-2.0"}
     plain["This work is licensed under the GNU General Public License, version 3."] = "GPL-3.0"
     assert got == {r.doc_id: sorted({v for k, v in plain.items() if k in r.text}) for r in table}
+
+
+def test_wrapped_wordings_are_found_whole():
+    for name, wordings in licenses.TEMPLATES.items():
+        for wording in wordings:
+            for width in (60, 70, 80):
+                lines = "\n".join(f"# {line}" for line in textwrap.wrap(wording, width))
+                noted = f"{text(1, 40)}\n\n{lines}\n\n{text(2, 40)}".encode()
+                (found,) = licenses.scan(noted, KNOWN)[1]
+                assert found[0] == name and found[3] == 0, (wording, width)
+                assert licenses._normal(noted[found[1] : found[2]]) == licenses._normal(wording.encode())

@@ -1,8 +1,8 @@
 """Licence scans by conditional compression.
 
-Lines with a cue word, and those between near ones, are candidate blocks. Every template holds a cue, so
-a notice lies within the template's length of one. These words of a block are compressed alone and with
-the template as a raw zstandard dictionary; the share of the template's information that the dictionary
+Lines with a cue word, and those between near ones, are candidate blocks, which are counted. Every template
+holds a cue, so a notice lies within the template's length of one, on lines without a cue too. These words of
+the text are compressed alone and with the template as a raw zstandard dictionary; the share of the template's information that the dictionary
 saves ranks the templates, and those that rank are confirmed by the exact word edit distance between the
 template and its best place.
 """
@@ -95,16 +95,14 @@ def differences(template: tuple[bytes, ...], words: list[bytes]) -> tuple[int, i
 
 def scan(text: bytes | None, known: list[Template]) -> tuple[int, list[tuple[str, int, int, int]]]:
     """The number of candidate blocks, and (licence, start, end, differences) of the notices, by bytes."""
-    found: list[tuple[str, int, int, int]] = []
     spans = blocks(text) if text else []
-    for start, end in spans:
-        places = [(m.start() + start, m.end() + start, m[0]) for m in _WORD.finditer(text[start:end].lower())]
-        found += [(known[i].name, places[s][0], places[e - 1][1], n) for s, e, n, i in _notices([w for _, _, w in places], known)]
+    places = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(text.lower())] if spans else []
+    found = [(known[i].name, places[s][0], places[e - 1][1], n) for s, e, n, i in _notices([w for _, _, w in places], known)]
     return len(spans), sorted(found, key=lambda f: (f[1], f[2], f[0]))
 
 
 def _notices(words: list[bytes], known: list[Template]) -> list[tuple[int, int, int, int]]:
-    """(start, end, differences, template) of the notices in a block's words; of overlapping ones the best."""
+    """(start, end, differences, template) of the notices in a text's words; of overlapping ones the best."""
     candidates = set()
     for cue in (k for k, w in enumerate(words) if CUES.search(w)):
         alone: dict[int, tuple[bytes, int]] = {}
