@@ -12,7 +12,8 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A-Z to a-z on bytes; every other byte stays.
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -122,7 +123,23 @@ def texts(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     return values.cast(kind).to_pylist()
 
 
-def with_columns(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
-    """batch and further columns; one of the same name is replaced."""
-    out = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-    return pa.RecordBatch.from_pydict(out | columns)
+def quoted(name: str) -> str:
+    """A column's name as SQL writes it."""
+    return f"`{name.replace('`', '``')}`"
+
+
+def same(names: list[str]) -> list[Column]:
+    """Columns by their plain names, dots and all."""
+    return [F.col(quoted(n)) for n in names]
+
+
+def unused(taken: list[str], *names: str) -> list[str]:
+    """Names that begin like those given and clash with none of those taken, whatever their case."""
+    lower, made = {t.lower() for t in taken}, []
+    for name in names:
+        name = f"_{name}"
+        while name in lower:
+            name += "_"
+        lower.add(name)
+        made.append(name)
+    return made
