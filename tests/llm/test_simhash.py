@@ -93,10 +93,41 @@ def test_near_copies_reach_similar_texts(spark):
 
 def test_one_of_each(spark):
     table = docs(spark, ODD)
-    kept = simhash.one_of_each(table, simhash.near_copies(table))
+    kept = simhash.one_of_each(table)
     assert kept.columns == table.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "10", "4", "5", "6", "8", "None"]
-    assert simhash.one_of_each(docs(spark, []), simhash.near_copies(docs(spark, []))).count() == 0
+    assert simhash.one_of_each(docs(spark, [])).count() == 0
+
+
+def test_one_of_each_loses_no_text_of_a_repeated_or_null_id(spark):
+    rows = [(None, text(1, 60)), (None, text(2, 60)), (7, text(3, 60)), (7, text(4, 60)), (7, text(4, 60)), (None, text(4, 60)), (8, text(1, 60)), (9, None), (None, None)]
+    got = sorted((str(r.doc_id), str(r.text)) for r in simhash.one_of_each(clashing(docs(spark, rows))).collect())
+    assert got == sorted([("8", text(1, 60)), ("None", text(2, 60)), ("7", text(3, 60)), ("7", text(4, 60)), ("9", "None")])
+
+
+def test_near_copies_find_all_pairs_of_the_similarity(spark):
+    """By brute force over a table of edited copies: every pair of 0.8 or more is in one component, whatever its key's size."""
+    r = random.Random(6)
+    rows, base = [], [text(50 + k, r.randint(4, 150)).split() for k in range(12)]
+    for i in range(260):
+        own = list(base[0] if i % 3 else base[i % 12])
+        for _ in range(r.choice((0, 1, 1, 2, 3, 6))):
+            own[r.randrange(len(own))] = f"edit{r.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(docs(spark, rows)).collect()}
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for i, t in rows}
+    near = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    assert len(near) > 1000 and sum(got[a] == got[b] for a, b in near) >= 0.98 * len(near)
+
+
+def test_query_against_brute_force(spark):
+    """All fingerprints and components of the query's whole table."""
+    table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: r for r in simhash.op3_simhash_groups(spark, SF).collect()}
+    fps = {r.doc_id: by_hand(r.text) for r in table}
+    assert {i: int(r.fingerprint, 16) for i, r in got.items()} == fps
+    want = joined([(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 2], fps)
+    assert {i: r.component_id for i, r in got.items()} == want
 
 
 def test_query(spark):

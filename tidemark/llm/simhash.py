@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import minhash
-from tidemark.llm.common import ASCII_LOWER, chunks, discard, read, stored, texts
+from tidemark.llm.common import ASCII_LOWER, chunks, discard, read, same, stored, texts, unused
 from tidemark.llm.common import checkpoint as written
 from tidemark.llm.components import components
 
@@ -127,12 +127,12 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def _grouped(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id of rows (doc_id, fp) whose fingerprints the edges (a, b) link."""
+    """rows, which have doc_id and fp, with root and component_id of the fingerprints that the edges (a, b) link."""
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     found = components(edges)
     roots = written(least.join(found, least["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root")))
     named = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(roots.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return rows.join(roots.join(named, "root").select("fp", "root", "component_id"), "fp")
 
 
 def near_groups(docs: DataFrame, size: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -144,70 +144,94 @@ def near_groups(docs: DataFrame, size: int = 3, radius: int = 2, id_col: str = "
     ignored. Copies are counted once per fingerprint before anything is compared.
     """
     rows = written(fingerprinted(docs, size, id_col, text_col))
-    return _grouped(rows, links(rows.select("fp").distinct(), radius))
+    return _grouped(rows, links(rows.select("fp").distinct(), radius)).select("doc_id", "fp", "component_id")
 
 
-_SETS = "doc_id {}, fp long, hash long, bands array<long>, shingles array<int>"
+_SETS = "doc_id {}, u long, fp long, hash long, bands array<long>, words array<int>"
+
+
+def _banded(found: list[bytes | None]) -> tuple[list[np.ndarray], dict[int, np.ndarray]]:
+    """The 64-bit hashes of each text's lower-cased words, and the band keys of its shingles where it has a word."""
+    ids: dict[bytes, int] = {}
+    own = [np.array([ids.setdefault(w, len(ids)) for w in t.translate(ASCII_LOWER).split()] if t else [], dtype=np.int64) for t in found]
+    hashed = np.array([xxhash.xxh64_intdigest(w, 3) for w in ids], dtype=np.uint64)
+    words = [hashed[w] for w in own]
+    full = [i for i, w in enumerate(words) if len(w)]
+    if not full:
+        return words, {}
+    shingles = [minhash.runs(words[i], min(minhash.SHINGLE, len(words[i]))) | np.uint64(1) for i in full]
+    keys = minhash.band_keys(np.concatenate(shingles), np.array([len(x) for x in shingles]))
+    return words, dict(zip(full, keys, strict=True))
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """The fingerprint of three-word shingles, and the bands and the set of five-word shingles, of each row."""
+    """doc_id, u (a hash of id and text), the fingerprint of three-word shingles, and bands and words, of each row.
+
+    hash stands for the sequence of words, from which fingerprint, bands and shingles follow.
+    """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text", 1 << 20):
                 found = texts(part, "text")
                 fps = fingerprints([np.array(shingle_hashes(t, 3), dtype=np.uint64) for t in found]).view(np.int64)
-                own = [np.array(shingle_hashes(t, minhash.SHINGLE), dtype=np.uint64) for t in found]
-                full = [i for i, h in enumerate(own) if len(h)]
-                keys = minhash.band_keys(np.concatenate([own[i] for i in full]), np.array([len(own[i]) for i in full])) if full else []
-                bands = dict(zip(full, keys, strict=True))
-                sets = [np.unique(minhash.short(h)) for h in own]
-                hashes = [xxhash.xxh64_intdigest(s.tobytes() + f.tobytes(), 9) for s, f in zip(sets, fps, strict=True)]
+                words, bands = _banded(found)
+                hashes = [xxhash.xxh64_intdigest(w.tobytes(), 9) for w in words]
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": part["doc_id"],
+                        "u": part["u"],
                         "fp": pa.array(fps),
                         "hash": pa.array(np.array(hashes, dtype=np.uint64).view(np.int64)),
                         "bands": pa.array([bands.get(i) for i in range(len(found))], pa.list_(pa.int64())),
-                        "shingles": pa.array(sets, pa.list_(pa.int32())),
+                        "words": pa.array([minhash.short(w) for w in words], pa.list_(pa.int32())),
                     }
                 )
 
-    rows = docs.select("doc_id", "text")
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("u"), "text")
     return rows.mapInArrow(made, _SETS.format(dict(rows.dtypes)["doc_id"]))
 
 
 def near_copies(docs: DataFrame, radius: int = 2) -> DataFrame:
-    """doc_id, fp, component_id as near_groups() gives them, of links that reach further.
+    """doc_id, u, fp, component_id of each row, as near_groups() gives them, of links that reach further.
 
-    At 64 bits a fingerprint distance of two finds few of the texts whose sets of five-word shingles have a
-    Jaccard similarity of 0.8, which differ in three to nine bits; no covering of that radius is small.
-    So the fingerprints that MinHash bands of five-word shingles bring together are linked too where their
-    exact similarity is 0.8 or more.
+    u stands for the row's doc_id and text. At 64 bits a fingerprint distance of two finds few of the texts whose sets
+    of five-word shingles have a Jaccard similarity of 0.8, which differ in three to nine bits; no covering of that
+    radius is small. So the fingerprints that MinHash bands of five-word shingles bring together are linked too where
+    their similarity is 0.8 or more. Null, empty and blank texts have the fingerprint 0 and are linked; null ids and
+    repeated rows stay; an empty table gives no rows; other columns are ignored.
     """
     used: list[str] = []
     rows = stored(_sets(docs), used)
     distinct = stored(rows.groupBy("hash").agg(F.count("*").alias("n"), F.min("fp").alias("fp")), used)
-    similar = minhash.similar_links(rows.where("bands IS NOT NULL").select("hash", "bands", "shingles"), distinct.select("hash", "n"), used)
+    banded = rows.where("bands IS NOT NULL").select("hash", "bands", "words")
+    similar = minhash.similar_links(banded, distinct.select("hash", "n"), used, "words", minhash.word_shingles("words"))
     for end in "ab":
         similar = similar.join(distinct.select(F.col("hash").alias(end), F.col("fp").alias(f"fp_{end}")), end)
-    fps = written(rows.select("doc_id", "fp"))
+    fps = written(rows.select("doc_id", "u", "fp"))
     edges = links(fps.select("fp").distinct(), radius).union(similar.select("fp_a", "fp_b"))
     groups = _grouped(fps, edges)
     discard(docs.sparkSession, used)
     return groups
 
 
-def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """docs with its columns: of each component of groups, the document whose doc_id names it.
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs with its columns: one row of each component of near_copies().
 
-    Rows of one doc_id are one document, of which one row stays.
+    It is the row of the least doc_id, null ids last, and of one doc_id with several texts the one of the least hash;
+    of equal rows of it one stays. A component has rows of like texts only, so texts unlike each other stay,
+    whatever their ids. Null and blank texts are one component. An empty table stays empty; columns of any name stay.
     """
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = written(kept)
-    left = docs.join(kept.select(F.col("doc_id").alias("__kept")), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    return left.dropDuplicates(["doc_id"]) if kept.where("n > 1").take(1) else left
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "u"))
+    groups = near_copies(docs)
+    kept = written(groups.groupBy("root").agg(first.alias("k")).select("k.doc_id", "k.u"))
+    again = groups.select("doc_id", "u").groupBy("doc_id", "u").agg(F.count("*").alias("n")).where("n > 1")
+    own_id, own_u, u = unused(docs.columns, "id", "u", "own")
+    kept = kept.withColumnsRenamed({"doc_id": own_id, "u": own_u})
+    left = docs.withColumn(u, F.xxhash64("doc_id", "text")).join(kept, (F.col(u) == F.col(own_u)) & F.col("doc_id").eqNullSafe(F.col(own_id)), "left_semi")
+    if again.take(1):
+        left = left.dropDuplicates(["doc_id", u])
+    return left.select(*same(docs.columns))
 
 
 def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
