@@ -82,8 +82,11 @@ def test_a_benchmark_of_several_blocks(spark, monkeypatch):
     rows = [(i, f"x {items[i % 8][1]} y {items[(i + 1) % 8][1]}") for i in range(12)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     one = sorted(map(str, d.contaminated(docs(spark, rows), bench).collect()))
-    monkeypatch.setattr(d, "BLOCK_BYTES", 200)
-    assert len(d._blocks(bench)) > 2 and sorted(map(str, d.contaminated(docs(spark, rows), bench).collect())) == one
+    monkeypatch.setattr(d, "BLOCK_BYTES", 400)
+    monkeypatch.setattr(d, "PIECE_WORDS", 7)
+    blocks = list(d._blocks(bench, 10))
+    assert len(blocks) > 2 and all(sum(len(t) for _, t in b) <= 400 for b in blocks)
+    assert sorted(map(str, d.contaminated(docs(spark, rows), bench).collect())) == one
 
 
 def test_odd_documents(spark):
@@ -102,3 +105,22 @@ def test_cleaned_texts(spark):
     table = docs(spark, rows)
     got = {r.doc_id: r for r in d.cleaned(table, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
     assert sorted(got) == [1, 3, 4] and got[1].text == "before  after" and got[1].n_chars == len("before  after")
+
+
+def test_memory_of_a_block():
+    """A block's phrases take a small multiple of its text, so one block on the driver is bounded."""
+    import tracemalloc
+
+    block = [(i, text(i, 20_000).encode()) for i in range(12)]
+    size = sum(len(t) for _, t in block)
+    tracemalloc.start()
+    wanted = d.phrases(block)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(wanted.windows) > 200_000 and peak < 60 * size
+
+
+def test_clashing_columns_stay_in_cleaned_texts(spark):
+    table = clashing(docs(spark, ODD))
+    kept = d.cleaned(table, spark.createDataFrame([(7, text(6, 80))], "item_id long, text string"))
+    assert kept.columns == table.columns and kept.count() == len(ODD) - 3

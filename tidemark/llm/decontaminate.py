@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ASCII_LOWER, chunks, read, texts
+from tidemark.llm.common import ASCII_LOWER, checkpoint, chunks, discard, quoted, read, stored, texts, unused
 from tidemark.llm.fmindex import FMIndex
 
 WINDOW = 10
 SHARD_BYTES = 2 << 20
-#: Bytes of benchmark text that one pass over the documents searches for.
-BLOCK_BYTES = 32 << 20
+#: Bytes of benchmark text that one pass over the documents searches for, and the words of an item that one row of it holds.
+BLOCK_BYTES, PIECE_WORDS = 8 << 20, 1 << 15
 
 #: ASCII bytes that belong to no word become spaces; all bytes of other code points belong to words.
 _WORDS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in ASCII_LOWER)
@@ -36,26 +36,41 @@ def words(text: bytes | None) -> list[bytes]:
 
 @dataclass(frozen=True)
 class Phrases:
-    """The distinct windows of a block of items: symbols, one row each, and the items that have each window."""
+    """The distinct windows of a block of items: symbols, one row each, padded with -1 at the start, and their lengths.
+
+    The items that have window i are names[owners[firsts[i] : firsts[i + 1]]].
+    """
 
     vocabulary: dict[bytes, int]
     windows: np.ndarray
     lengths: np.ndarray
-    items: list[tuple[str, ...]]
+    firsts: np.ndarray
+    owners: np.ndarray
+    names: list[str]
+
+    def items(self, windows: np.ndarray) -> list[str]:
+        """The sorted names of the items that have any of the windows."""
+        found = [self.owners[self.firsts[w] : self.firsts[w + 1]] for w in windows.tolist()]
+        return sorted({self.names[i] for i in np.unique(np.concatenate(found)).tolist()})
 
 
 def phrases(items: list[tuple[object, bytes | None]], window: int = WINDOW) -> Phrases:
     """Windows of so many words, or the whole item where it has fewer; items without words have none."""
-    found: dict[tuple[bytes, ...], set[str]] = {}
-    for item, text in items:
-        own = words(text)
-        for k in range(max(1, len(own) - window + 1) if own else 0):
-            found.setdefault(tuple(own[k : k + window]), set()).add(str(item))
     vocabulary: dict[bytes, int] = {}
-    rows = np.full((len(found), window), -1, dtype=np.int64)
-    for row, phrase in zip(rows, found, strict=True):
-        row[window - len(phrase) :] = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in phrase]
-    return Phrases(vocabulary, rows, np.array([len(p) for p in found], dtype=np.int64), [tuple(sorted(v)) for v in found.values()])
+    names: dict[str, int] = {}
+    rows, of = [np.zeros((0, window), dtype=np.int32)], [np.zeros(0, dtype=np.int64)]
+    for item, text in items:
+        own = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words(text)], dtype=np.int32)
+        if len(own):
+            padded = np.r_[np.full(max(0, window - len(own)), -1, dtype=np.int32), own]
+            rows.append(np.lib.stride_tricks.sliding_window_view(padded, window))
+            of.append(np.full(len(rows[-1]), names.setdefault(str(item), len(names))))
+    flat = np.ascontiguousarray(np.concatenate(rows))
+    _, first, which = np.unique(flat.view(np.dtype((np.void, 4 * window))).ravel(), return_index=True, return_inverse=True)
+    pairs = np.unique(which * max(1, len(names)) + np.concatenate(of))
+    windows = flat[first]
+    firsts = np.searchsorted(pairs, np.arange(len(windows) + 1) * max(1, len(names)))
+    return Phrases(vocabulary, windows, (windows >= 0).sum(axis=1), firsts, pairs % max(1, len(names)), list(names))
 
 
 def _merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
@@ -95,22 +110,40 @@ def hits(found: list[bytes | None], wanted: Phrases) -> tuple[list[int], list[li
         for i in np.unique(where).tolist():
             own = order[np.searchsorted(where[order], i) : np.searchsorted(where[order], i, side="right")]
             spans[i] = _merged(starts[own], ends[own])
-            items[i] = sorted({x for w in np.unique(which[own]).tolist() for x in wanted.items[w]})
+            items[i] = wanted.items(np.unique(which[own]))
     return sizes, spans, items
 
 
-def _blocks(items: DataFrame) -> list[list[tuple[object, bytes | None]]]:
-    """The items in blocks of BLOCK_BYTES of text, one block at least; a longer item is a block."""
-    blocks: list[list[tuple[object, bytes | None]]] = [[]]
-    size = 0
-    for item, text in items.select("item_id", F.col("text").cast("binary")).toLocalIterator():
-        text = None if text is None else bytes(text)
-        if blocks[-1] and size + len(text or b"") > BLOCK_BYTES:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((item, text))
-        size += len(text or b"")
-    return blocks
+def _blocks(benchmark: DataFrame, window: int) -> Iterator[list[tuple[str, bytes]]]:
+    """The items in blocks of about BLOCK_BYTES of text, one block at least, each fetched when it is asked for.
+
+    Executors cut items into pieces of PIECE_WORDS words that overlap by all but one word of a window, so that the pieces
+    have the windows of the item and none is large. Of these a partition holds about a block.
+    """
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                for item, text in zip(part["item"].to_pylist(), texts(part, "text"), strict=True):
+                    own = words(text)
+                    pieces = [b" ".join(own[k : k + PIECE_WORDS + window - 1]) for k in range(0, max(1, len(own) - window + 1), PIECE_WORDS)] if own else []
+                    for k in range(0, len(pieces), 16):
+                        yield pa.RecordBatch.from_pydict({"item": [item] * len(pieces[k : k + 16]), "piece": pa.array(pieces[k : k + 16], pa.binary())})
+
+    pieces = checkpoint(rows.mapInArrow(cut, "item string, piece binary"))
+    size = pieces.agg(F.coalesce(F.sum(F.octet_length("piece")), F.lit(0))).first()[0]
+    if size > BLOCK_BYTES:
+        pieces = checkpoint(pieces.repartition(-(-size // BLOCK_BYTES)))
+    block: list[tuple[str, bytes]] = []
+    held = 0
+    for item, piece in pieces.toLocalIterator():
+        if block and held + len(piece) > BLOCK_BYTES:
+            yield block
+            block, held = [], 0
+        block.append((item, bytes(piece)))
+        held += len(piece)
+    yield block
 
 
 FOUND = "n_words long, spans array<struct<start: long, end: long>>, items array<string>"
@@ -122,8 +155,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, te
     A window is `window` consecutive words of an item, or the item if it has fewer words. Each row of docs
     is kept once and judged by itself, without a shuffle. A null text has no words; null ids, repeated rows
     and other columns stay, of which those named like the results are replaced; empty tables give no rows
-    or no hits. Of the benchmark, a block of bounded size is searched for in one pass; a larger benchmark
-    takes a pass for each block, each adding to the spans and items before it.
+    or no hits. An item of null id is named `null`. A block of bounded size of the benchmark is fetched, broadcast and
+    searched for in one pass, and let go before the next; a larger benchmark takes a pass for each block, each adding
+    to the spans and items that the one before has written to the checkpoint folder.
     """
     docs = docs.drop("n_words", "spans", "items")
     return _searched(docs, benchmark, window, text_col, None)
@@ -131,15 +165,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, te
 
 def _searched(docs: DataFrame, benchmark: DataFrame, window: int, text_col: str, names: dict[str, str] | None) -> DataFrame:
     """docs with what all blocks of the benchmark find; with names, the cleaned columns of those names instead, from the last pass."""
-    schema = ", ".join([*(f"`{c.replace('`', '``')}` {t}" for c, t in docs.dtypes), FOUND])
-    blocks = _blocks(benchmark)
-    out = docs
-    for number, block in enumerate(blocks, 1):
+    kinds = dict(docs.dtypes)
+    schema = ", ".join([*(f"{quoted(c)} {t}" for c, t in kinds.items()), FOUND])
+    cleaned_schema = ", ".join(f"{quoted(c)} {kinds[old]}" for c, old in names.items()) if names else schema
+    blocks = _blocks(benchmark, window)
+    block, out, before = next(blocks), docs, []
+    while True:
         wanted = docs.sparkSession.sparkContext.broadcast(phrases(block, window))
-        last = number == len(blocks) and names is not None
-        kept = ", ".join(f"`{c.replace('`', '``')}` {dict(docs.dtypes)[old]}" for c, old in names.items()) if last else schema
-        out = out.mapInArrow(_pass(wanted, text_col, names if last else None), kept)
-    return out
+        block = next(blocks, None)
+        if block is None:
+            return out.mapInArrow(_pass(wanted, text_col, names), cleaned_schema)
+        written: list[str] = []
+        out = stored(out.mapInArrow(_pass(wanted, text_col, None), schema), written)
+        wanted.destroy()
+        discard(docs.sparkSession, before)
+        before = written
 
 
 def _pass(wanted, text_col: str, names: dict[str, str] | None):
@@ -193,9 +233,13 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 def cleaned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs with its columns, the words of the benchmark's windows cut out of text; documents left without a word are dropped.
 
-    n_chars, where docs has it, becomes the new text's. Rows that no window hits stay as they are.
+    n_chars, where docs has it, becomes the new text's. Rows that no window hits stay as they are, those of null, empty or
+    blank text too; null ids and repeated rows stay, each judged by itself; an empty table stays empty and an empty
+    benchmark changes nothing; columns of any name stay.
     """
-    aside = {c: f"__{c}" if c in ("n_words", "spans", "items") else c for c in docs.columns}
+    own = ("n_words", "spans", "items")
+    aside = dict(zip(own, unused(docs.columns, *own), strict=True))
+    aside = {c: aside[c.lower()] if c.lower() in own else c for c in docs.columns}
     return _searched(docs.withColumnsRenamed(aside), benchmark, WINDOW, "text", aside)
 
 
