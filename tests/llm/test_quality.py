@@ -66,6 +66,26 @@ def test_held_out_accuracy(spark):
     assert sum(got[i] == (i < 1000) for i, _ in good[150:] + bad[150:]) >= 295
 
 
-def test_query(spark):
-    got = quality.op2_quality_rules(spark, SF)
-    assert got.count() == 200 and got.where("kept and base_failed").count() == 0
+def test_repeated_ids_stay_within_the_sample(spark):
+    table = docs(spark, [(1, text(1, 30))] * 40 + [(1, text(2, 30)), (2, text(3, 30))])
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 1, 0)], "doc_id long, quality long, toxic long")
+    held = []
+    original, trees.fit = trees.fit, lambda rows, *a, **b: held.append(len(rows)) or original(rows, *a, **b)
+    try:
+        quality.train(table, labels)
+    finally:
+        trees.fit = original
+    assert held == [2]
+
+
+def test_query_against_a_plain_count(spark):
+    """Every column of the whole table; the verdict by a walk through each tree's nodes."""
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    forest = quality.train(table, spark.read.parquet(f"{SF}/labels.parquet"))
+    texts = {r.doc_id: r.text for r in table.collect()}
+    got = {r.doc_id: r for r in quality.op2_quality_rules(spark, SF).collect()}
+    assert {i: [r[k] for k in quality.COUNTS] for i, r in got.items()} == {i: by_hand(t) for i, t in texts.items()}
+    score = dict(zip(texts, forest.probability(quality.features(quality.statistics([None if t is None else t.encode() for t in texts.values()])))))
+    for i, r in got.items():
+        assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
+        assert r.kept == (not r.base_failed and score[i] >= 0.5)

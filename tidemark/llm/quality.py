@@ -146,8 +146,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> trees.For
     """Trees for labels.quality, fitted on at most `sample` labelled documents.
 
     The sample is the labelled ids with the lowest hashes, so it doesn't depend on order or partitions; of
-    an id's labels the lowest counts. Labels of null id or quality are left out. Only ids and a dozen
-    numbers of each sampled document reach the driver.
+    an id's labels the lowest counts, and of its documents the one of the least features. Labels of null id or quality
+    are left out. So at most `sample` rows of a dozen numbers reach the driver, however often an id is repeated.
     """
     chosen = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -161,7 +161,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> trees.For
                 columns = {f"f{i}": pa.array(values[:, i]) for i in range(len(FEATURES))}
                 yield pa.RecordBatch.from_pydict({"doc_id": part["doc_id"], "quality": part["quality"].cast(pa.int64())} | columns)
 
-    rows = known.mapInArrow(measured, f"doc_id {_kind(docs, 'doc_id')}, quality long, {fields}").toPandas()
+    rows = known.mapInArrow(measured, f"doc_id {_kind(docs, 'doc_id')}, quality long, {fields}")
+    single = rows.groupBy("doc_id", "quality").agg(F.min(F.struct(*[f"f{i}" for i in range(len(FEATURES))])).alias("f"))
+    rows = single.select("doc_id", "quality", "f.*").toPandas()
     rows = rows.sort_values(list(rows.columns))
     return trees.fit(rows.iloc[:, 2:].to_numpy(dtype=np.float64).reshape(-1, len(FEATURES)), rows["quality"].to_numpy(dtype=np.float64), np.array(list(FEATURES.values())))
 
