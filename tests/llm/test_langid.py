@@ -26,7 +26,7 @@ def test_learns_and_splits_mixtures(spark):
     got = {r.doc_id: r for r in langid.identify(docs(spark, [(1, sample("bb", 99, 40)), (2, mixed), (3, "123 !?"), (4, None)]), model).collect()}
     assert (got[1].lang_pred, got[3].lang_pred, got[4].lang_pred) == ("bb", "und", "und") and got[1].score == 1.0
     assert got[2].lang_pred == "aa" and 0.6 < got[2].score < 0.9
-    shares = model.mixtures([langid.gram_counts(mixed.encode())])[0]
+    shares = model.mixtures([langid.gram_counts(mixed.encode())])[0][0]
     assert shares[1] == 0 and abs(shares.sum() - 1) < 1e-3
 
 
@@ -40,7 +40,7 @@ def test_mixtures_match_plain_em():
     for _ in range(200):
         joint = p * share
         share = (counts[:, None] * joint / joint.sum(axis=1, keepdims=True)).sum(axis=0) / counts.sum()
-    assert np.abs(langid.Model(("a", "b", "c"), p).mixtures([counts])[0] - share).max() < 0.02
+    assert np.abs(langid.Model(("a", "b", "c"), p).mixtures([counts])[0][0] - share).max() < 0.02
 
 
 def test_odd_documents(spark):
@@ -61,3 +61,36 @@ def test_query_is_right_on_held_out_documents(spark):
     truth = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
     rows = langid.op5_language_mixture(spark, SF).join(truth, "doc_id").where("held_out").collect()
     assert len(rows) > 200 and np.mean([r.lang == r.lang_pred for r in rows]) > 0.97
+
+
+def test_many_languages_and_large_sets(spark):
+    """No language is dropped and a text of six languages is a mixture of six; more than the bound is an error."""
+    r = random.Random(4)
+    vocabulary = {f"l{k:03}": ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)] for k in range(300)}
+    taught = docs(spark, [(k, " ".join(vocabulary[lang] * 6), lang) for k, lang in enumerate(vocabulary)])
+    model = langid.learn(taught)
+    assert len(model.languages) == 300
+    some = list(vocabulary)[::50]
+    text = " ".join(w for lang in some for w in vocabulary[lang] * 8)
+    shares, likeness = model.mixtures([langid.gram_counts(text.encode()), *[langid.gram_counts(" ".join(vocabulary[lang]).encode()) for lang in some]])
+    assert [model.languages[i] for i in np.flatnonzero(shares[0] > 0.05)] == some and likeness.min() > 0.6
+    assert [model.languages[i] for i in shares[1:].argmax(axis=1)] == some
+    try:
+        langid.learn(taught, most_languages=299)
+    except ValueError:
+        return
+    raise AssertionError
+
+
+def test_accepted_rejects_junk_and_unlearned_languages(spark):
+    r = random.Random(7)
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    clean = table.select("doc_id", "text", "lang", "source", "n_chars")
+    junk = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz     ", k=k)) for k in (40, 300, 2000) for _ in range(20)]
+    junk += [" ".join("".join(r.choices(["vrz", "ský", "mlu", "před", "kon", "ště", "bych", "žel"], k=2)) for _ in range(k)) for k in (8, 40, 300) for _ in range(20)]
+    model = langid.taught(clean)
+    assert langid.accepted(docs(spark, list(enumerate(junk))), model).count() == 0
+    kept = langid.accepted(clean, model)
+    assert kept.count() == sum(langid.has_letters((x.text or "").encode()) for x in table.select("text").collect())
+    mixed = " ".join(x.text[:400] for x in table.where("n_chars > 1000").dropDuplicates(["lang"]).collect())
+    assert langid.accepted(docs(spark, [(1, mixed)]), model).count() == 1
