@@ -2,7 +2,8 @@
 
 Lines with a cue word, and those between near ones, are candidate blocks, which are counted. Every template
 holds a cue, so a notice lies within the template's length of one, on lines without a cue too. These words of
-the text are compressed alone and with the template as a raw zstandard dictionary; the share of the template's information that the dictionary
+the text are compressed alone and with the template as a raw zstandard dictionary, unless more of the template's distinct
+words are missing among them than may differ. The share of the template's information that the dictionary
 saves ranks the templates, and those that rank are confirmed by the exact word edit distance between the
 template and its best place.
 """
@@ -26,7 +27,8 @@ CUES = re.compile(rb"licen[cs]e|permission|copyright|redistribut|unencumbered|sp
 #: Lines between two lines with cues that still join them into one block.
 GAP = 4
 #: The share of a template's information that makes it a candidate, and of its words that may differ.
-RANKED, DIFFERENT = 0.3, 0.1
+RANKED, DIFFERENT = 0.02, 0.1
+LEVEL = 9
 
 _WORD = re.compile(rb"[0-9a-z]+(?:\.[0-9]+)*")
 
@@ -35,7 +37,8 @@ _WORD = re.compile(rb"[0-9a-z]+(?:\.[0-9]+)*")
 class Template:
     name: str
     words: tuple[bytes, ...]
-    dictionary: zstandard.ZstdCompressionDict
+    distinct: frozenset[bytes]
+    compressor: zstandard.ZstdCompressor
     saving: int
 
 
@@ -43,19 +46,20 @@ def _normal(text: bytes) -> bytes:
     return b" ".join(_WORD.findall(text.lower()))
 
 
-def _size(text: bytes, dictionary: zstandard.ZstdCompressionDict | None = None) -> int:
-    return len(zstandard.ZstdCompressor(level=9, dict_data=dictionary, write_checksum=False, write_content_size=False, write_dict_id=False).compress(text))
+def _compressor(dictionary: bytes | None = None) -> zstandard.ZstdCompressor:
+    raw = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if dictionary else None
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_checksum=False, write_content_size=False, write_dict_id=False)
 
 
 def templates(wordings: dict[str, list[str]] = TEMPLATES) -> list[Template]:
-    """The wordings as dictionaries, and what each saves on its own text."""
-    found = []
+    """The wordings as dictionaries, and what each saves on its own text; wordings that are equal but for case and marks are one."""
+    found, alone = {}, _compressor()
     for name in sorted(wordings):
         for wording in wordings[name]:
             text = _normal(wording.encode())
-            dictionary = zstandard.ZstdCompressionDict(text, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            found.append(Template(name, tuple(text.split()), dictionary, max(1, _size(text) - _size(text, dictionary))))
-    return found
+            own = _compressor(text)
+            found.setdefault(text, Template(name, tuple(text.split()), frozenset(text.split()), own, max(1, len(alone.compress(text)) - len(own.compress(text)))))
+    return list(found.values())
 
 
 def blocks(text: bytes) -> list[tuple[int, int]]:
@@ -102,28 +106,36 @@ def scan(text: bytes | None, known: list[Template]) -> tuple[int, list[tuple[str
 
 
 def _notices(words: list[bytes], known: list[Template]) -> list[tuple[int, int, int, int]]:
-    """(start, end, differences, template) of the notices in a text's words; of overlapping ones the best."""
-    candidates = set()
+    """(start, end, differences, template) of the notices in a text's words; of overlapping ones the one with most words in common."""
+    candidates, plain = set(), _compressor()
     for cue in (k for k, w in enumerate(words) if CUES.search(w)):
         alone: dict[int, tuple[bytes, int]] = {}
+        near: dict[int, tuple[int, list[bytes], set[bytes]]] = {}
         ranked = []
         for i, t in enumerate(known):
             size = len(t.words)
+            if size not in near:
+                reach = size + int(DIFFERENT * size)
+                low = max(0, cue - reach)
+                own = words[low : cue + reach + 1]
+                near[size] = low, own, set(own)
+            low, own, distinct = near[size]
+            if len(t.distinct - distinct) > DIFFERENT * size:
+                continue
             if size not in alone:
-                near = b" ".join(words[max(0, cue - size) : cue + size + 1])
-                alone[size] = near, _size(near)
-            near, own = alone[size]
-            ranked.append(((own - _size(near, t.dictionary)) / t.saving, i))
+                joined = b" ".join(own)
+                alone[size] = joined, len(plain.compress(joined))
+            joined, bare = alone[size]
+            ranked.append(((bare - len(t.compressor.compress(joined))) / t.saving, i))
         for share, i in sorted(ranked, reverse=True):
             if share < RANKED:
                 break
-            size = len(known[i].words)
-            low = max(0, cue - size)
-            n, start, end = differences(known[i].words, words[low : cue + size + 1])
-            if n <= DIFFERENT * size:
-                candidates.add((n / size, -size, low + start, low + end, n, i))
+            low, own, _ = near[len(known[i].words)]
+            n, start, end = differences(known[i].words, own)
+            if n <= DIFFERENT * len(known[i].words):
+                candidates.add((n - len(known[i].words), n, low + start, low + end, i))
     taken: list[tuple[int, int, int, int]] = []
-    for _, _, start, end, n, i in sorted(candidates):
+    for _, n, start, end, i in sorted(candidates):
         if all(end <= s or e <= start for s, e, _, _ in taken):
             taken.append((start, end, n, i))
     return taken
@@ -136,7 +148,7 @@ def scanned(docs: DataFrame, wordings: dict[str, list[str]] = TEMPLATES) -> Data
     """doc_id, n_blocks, licenses, notices of each row, by itself, without a shuffle.
 
     notices have the byte span of each confirmed wording in the whole text and the words by which it
-    differs; of overlapping ones the closest counts, then the longest. licenses are their distinct names in
+    differs; of overlapping ones the one with most words in common counts, then the closest. licenses are their distinct names in
     order. A null or blank text has none; null ids and repeated rows stay; an empty table gives no rows;
     other columns are ignored. Work grows with the cues, so texts of any length are scanned whole.
     """
