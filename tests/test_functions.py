@@ -38,14 +38,15 @@ def test_integers(spark):
 
 
 def test_sizes(spark):
-    assert column(spark, ["5", "5kB", "5KiB", "2 GiB", "x", "5q"], text.size_bytes) == [5, 5000, 5120, 2 << 30, None, None]
+    texts = ["5", "5KB", "5kB", "5KiB", "2 GiB", "2GiB", "3B", "7T", "1PiB", "+4M", "G", "1G", "x", "-1", "99999999PB"]
+    assert column(spark, texts, text.size_bytes) == [5, 5000, None, 5120, None, 2 << 30, 3 * 10**9, 7 * 10**12, 1 << 50, 4 * 10**6, None, None, None, None, None]
     assert column(spark, ["", "abc", "é"], text.bulk_bytes) == [len(f"${len(v.encode())}\r\n".encode() + v.encode() + b"\r\n") for v in ("", "abc", "é")]
 
 
 def test_even_parts(spark):
-    got = column(spark, list(range(10)), lambda c: text.even_part(c, 10, 3), "long")
+    got = column(spark, list(range(10)), lambda c: text.even_part(c, F.lit(10), 3), "long")
     assert got == [0, 0, 0, 0, 1, 1, 1, 2, 2, 2]
-    assert column(spark, [0, 1], lambda c: text.even_part(c, 2, 5), "long") == [0, 1]
+    assert column(spark, [0, 1], lambda c: text.even_part(c, F.lit(2), 5), "long") == [0, 1]
 
 
 @pytest.mark.parametrize(("data", "want"), [(b"", 0), (b"hello", 0x248BFA47), (b"hello, world", 0x149BBB7F), (b"The quick brown fox jumps over the lazy dog", 0x2E4FF723)])
@@ -73,6 +74,17 @@ def test_keys_out_of_range():
         binary.unpack_key(b"\0" * 15 + b"\1")
 
 
+def test_key_columns(spark):
+    r = random.Random(2)
+    keys = [(d, i, g) for d in (0, 1, -1, (1 << 47) - 1, -(1 << 47), r.randrange(1 << 47)) for i in (0, 1, (1 << 63) - 1, r.randrange(1 << 63)) for g in (True, False)]
+    table = spark.createDataFrame(keys, "d long, i long, g boolean").withColumn("key", binary.packed_key(F.col("d"), F.col("i"), F.col("g"))).withColumn("k", binary.unpacked_key(F.col("key")))
+    for row in table.collect():
+        assert bytes(row.key) == binary.pack_key(row.d, row.i, row.g) and tuple(row.k) == (row.d, row.i, row.g)
+    for bad in ((1 << 47, 0), (0, -1)):
+        with pytest.raises(Exception, match="can't hold"):
+            spark.createDataFrame([bad], "d long, i long").select(binary.packed_key(F.col("d"), F.col("i"), F.lit(True))).collect()
+
+
 def test_compaction_picks_the_best_run(spark):
     r = random.Random(5)
     for _ in range(6):

@@ -64,3 +64,42 @@ def test_store_flushes_reads_and_compacts(spark, tmp_path):
 def test_replies(spark):
     rows = commands.replies(spark.createDataFrame([(s,) for s in commands.REPLIES], "status string")).collect()
     assert {r.status: (r.http, r.grpc, r.resp) for r in rows} == commands.REPLIES
+
+
+def test_http_requests(spark):
+    rows = [
+        ("POST", "/queues/a/enqueue", '{"value": "aGk=", "deadline": "+5s"}'),
+        ("POST", "/queues/a/enqueue", '{"string": "hi"}'),
+        ("POST", "/queues/a/enqueue?string=a%20b&deadline=1970-01-01T00:00:01Z", None),
+        ("POST", "/queues/a/enqueue", "{}"),
+        ("POST", "/queues/a/enqueue", "[1"),
+        ("POST", "/queues/a%2Fb/dequeue", '{"timeout": "2m", "count": 7}'),
+        ("POST", "/queues/a/dequeue", None),
+        ("POST", "/queues/a/dequeue?timeout=x", None),
+        ("POST", "/queues/a/dequeue", '{"count": 0}'),
+        ("POST", "/queues/a/requeue", '{"id": {"any": true}, "deadline": "+1h"}'),
+        ("POST", "/queues/a/requeue", '{"id": {"id": 9}}'),
+        ("POST", "/queues/a/release", '{"id": 4}'),
+        ("POST", "/queues/a/release?any", None),
+        ("POST", "/queues/a/release", '{"any": false}'),
+        ("GET", "/queues/a/peek", None),
+        ("GET", "/queues/a", None),
+        ("DELETE", "/queues/a", None),
+        ("GET", "/queues/a/poke", None),
+        ("POST", "/queues/a/compact", None),
+        ("PUT", "/queues/a", None),
+        ("GET", "/", None),
+    ]
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "seq int, method string, path string, body string")
+    got = [(r.op, r.queue, r.value, r.deadline_kind, r.deadline_arg_ms, r.id, r.id_any, r["count"], r.timeout_ms, r.error) for r in commands.parse_http(table).orderBy("seq").collect()]
+    assert got[:3] == [
+        ("ENQUEUE", "a", "hi", "relative", 5000, None, False, None, None, None),
+        ("ENQUEUE", "a", "hi", "now", None, None, False, None, None, None),
+        ("ENQUEUE", "a", "a b", "absolute", 1000, None, False, None, None, None),
+    ]
+    assert [g[-1] for g in got[3:5]] == ["missing value", "invalid body"]
+    assert got[5][1] == "a/b" and got[5][7:] == (7, 120_000, None) and got[6][7:] == (1, 0, None)
+    assert [g[-1] for g in got[7:9]] == ["invalid timeout", "invalid count"]
+    assert got[9][3:7] == ("relative", 3_600_000, None, True) and got[10][-1] == "missing deadline"
+    assert got[11][5:7] == (4, False) and got[12][5:7] == (None, True) and got[13][-1] == "invalid id"
+    assert [g[0] for g in got[14:19]] == ["PEEK", "INFO", "DELETE", "POKE", "COMPACT"] and [g[-1] for g in got[14:]] == [None] * 5 + ["not found"] * 2

@@ -1,4 +1,4 @@
-"""Checksums and packed keys of the binary formats, vectorised over Arrow batches."""
+"""Checksums of the binary formats over Arrow batches, and packed keys as column expressions."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ import zlib
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
@@ -59,11 +61,20 @@ def unpack_key(key: bytes) -> tuple[int, int, bool]:
     return deadline - (1 << 48 if deadline >> 47 else 0), packed >> 2 & (1 << 64) - 1, kind == 3
 
 
-@pandas_udf(T.BinaryType())
-def packed_key(deadline_ms: pd.Series, id_: pd.Series, tombstone: pd.Series) -> pd.Series:
-    return pd.Series([pack_key(int(d), int(i), bool(t)) for d, i, t in zip(deadline_ms, id_, tombstone, strict=True)], dtype=object)
+def packed_key(deadline_ms: Column, id_: Column, tombstone: Column) -> Column:
+    """pack_key() of columns, as two longs in hexadecimal; an id or deadline that it can't hold is an error, null is null."""
+    high = F.shiftleft(deadline_ms.bitwiseAND(F.lit((1 << 48) - 1)), 2)
+    low = F.shiftleft(id_, 2).bitwiseOR(F.when(tombstone, F.lit(3)).otherwise(F.lit(0)).cast("long"))
+    fits = deadline_ms.between(-(1 << 47), (1 << 47) - 1) & (id_ >= 0)
+    digits = [F.lpad(F.hex(part), 16, "0") for part in (high.bitwiseOR(F.shiftrightunsigned(id_, 62)), low)]
+    return F.when(~fits, F.raise_error(F.concat(F.lit("a key can't hold "), deadline_ms, F.lit(", "), id_))).otherwise(F.unhex(F.concat(*digits)))
 
 
-@pandas_udf(T.StructType().add("deadline_ms", T.LongType()).add("id", T.LongType()).add("tombstone", T.BooleanType()))
-def unpacked_key(key: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([unpack_key(bytes(k)) for k in key], columns=["deadline_ms", "id", "tombstone"])
+def unpacked_key(key: Column) -> Column:
+    """unpack_key() of a column as a struct (deadline_ms, id, tombstone); ids beyond a long come out negative."""
+    high, low = (F.conv(F.substr(F.hex(key), F.lit(at), F.lit(16)), 16, -10).cast("long") for at in (1, 17))
+    kind = low.bitwiseAND(F.lit(3))
+    deadline = F.shiftright(F.shiftleft(F.shiftrightunsigned(high, 2), 16), 16)
+    id_ = F.shiftrightunsigned(low, 2).bitwiseOR(F.shiftleft(high.bitwiseAND(F.lit(3)), 62))
+    wrong = (F.octet_length(key) != 16) | kind.isin(1, 2)
+    return F.when(wrong, F.raise_error(F.lit("not a packed key"))).otherwise(F.struct(deadline.alias("deadline_ms"), id_.alias("id"), (kind == 3).alias("tombstone")))

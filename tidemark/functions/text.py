@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 # The units of durations in milliseconds, and of sizes in bytes.
 DURATION_MS = {"ms": 1, "s": 1_000, "m": 60_000, "h": 3_600_000}
 SIZE_BYTES = {
-    "": 1, "b": 1, "k": 1_000, "kb": 1_000, "kib": 1_024, "m": 1_000_000, "mb": 1_000_000, "mib": 1_048_576, "g": 1_000_000_000, "gb": 1_000_000_000, "gib": 1_073_741_824,
+    "PiB": 1_024**5, "TiB": 1_024**4, "GiB": 1_024**3, "MiB": 1_024**2, "KiB": 1_024,
+    "PB": 1_000**5, "TB": 1_000**4, "GB": 1_000**3, "MB": 1_000**2, "KB": 1_000,
+    "T": 1_000**4, "B": 1_000**3, "M": 1_000**2, "K": 1_000, "": 1,
 }
 
 
@@ -54,10 +56,16 @@ def signed(text: Column) -> Column:
 
 
 def size_bytes(text: Column) -> Column:
-    """Bytes of an unsigned integer with a metric or binary unit; null for anything else."""
-    low = F.lower(text)
-    found = low.rlike("^[0-9]+ ?(b|k|kb|kib|m|mb|mib|g|gb|gib)?$")
-    return F.when(found, _scaled(F.regexp_extract(low, "^([0-9]+)", 1), F.regexp_extract(low, "([a-z]*)$", 1), SIZE_BYTES))
+    """Bytes of an unsigned integer with a binary, metric or informal unit, whose case counts; null for anything else.
+
+    Alone, "B" is a billion. A size beyond a long is null.
+    """
+    unit = F.regexp_extract(text, "([A-Za-z]*)$", 1)
+    number = F.regexp_extract(text, r"^\+?([0-9]+)", 1).try_cast("long")
+    scale = F.lit(None).cast("long")
+    for name, factor in SIZE_BYTES.items():
+        scale = F.when(unit == name, F.lit(factor).cast("long")).otherwise(scale)
+    return F.when(text.rlike(r"^\+?[0-9]+([PTGMK]i?B|[TBMK])?$"), F.try_multiply(number, scale))
 
 
 def integer_bytes(value: Column) -> Column:
@@ -71,8 +79,9 @@ def bulk_bytes(value: Column) -> Column:
     return F.length(n.cast("string")).cast("long") + n + 5
 
 
-def even_part(index: Column, total: int, parts: int) -> Column:
+def even_part(index: Column, total: Column, parts: int) -> Column:
     """Which of `parts` even parts of `total` things the thing at index is in; the first parts get one more."""
-    size, more = divmod(total, parts)
+    more = total % parts
+    size = (total - more) / parts
     first = more * (size + 1)
-    return F.when(index < first, F.floor(index / (size + 1))).otherwise(more + F.floor((index - first) / max(size, 1))).cast("long")
+    return F.when(index < first, F.floor(index / (size + 1))).otherwise(more + F.floor((index - first) / F.greatest(size, F.lit(1)))).cast("long")

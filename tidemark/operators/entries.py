@@ -60,16 +60,19 @@ def requeue(working: DataFrame, new_id: Column, deadline_ms: Column, now_ms: Col
 
 def live(log: DataFrame) -> DataFrame:
     """Pending items that no tombstone cancels."""
-    tombstones = log.where(F.col("kind") == TOMBSTONE).select(*KEY)
-    return log.where(F.col("kind") == PENDING).join(tombstones, list(KEY), "left_anti")
+    tombstones = log.where(F.col("kind") == TOMBSTONE).select(*(F.col(k).alias(f"gone_{k}") for k in KEY))
+    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"gone_{k}")) for k in KEY))
+    return log.where(F.col("kind") == PENDING).join(tombstones, same, "left_anti")
 
 
 def unpaired(log: DataFrame) -> DataFrame:
-    """All entries but the pairs of a tombstone and its pending item; tombstones of absent items stay."""
-    sides = {k: log.where(F.col("kind") == k) for k in (PENDING, TOMBSTONE)}
-    left = sides[PENDING].join(sides[TOMBSTONE].select(*KEY), list(KEY), "left_anti")
-    right = sides[TOMBSTONE].join(sides[PENDING].select(*KEY), list(KEY), "left_anti")
-    return left.unionByName(right).select(*ENTRY_COLUMNS)
+    """All entries but the pairs of a tombstone and its pending item; tombstones of absent items stay.
+
+    One pass: the entries of a key meet once, and stay if they are of one kind.
+    """
+    own = Window.partitionBy(*KEY)
+    mixed = F.min(kind_order()).over(own) < F.max(kind_order()).over(own)
+    return log.select(*ENTRY_COLUMNS, mixed.alias("__mixed")).where("NOT __mixed").drop("__mixed")
 
 
 def after(log: DataFrame, deadline_ms: int, id_: int, kind: str) -> DataFrame:

@@ -387,13 +387,13 @@ def deadline_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT event_id AS id, TRY_CAST(event_id % 100 AS BIGINT) * CASE event_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 1000 WHEN 2 THEN 1048576 ELSE 1073741824 END AS bytes,
+    """SELECT event_id AS id, TRY_CAST(event_id % 100 AS BIGINT) * CASE event_id % 8 WHEN 0 THEN 1 WHEN 1 THEN 1000 WHEN 2 THEN 1048576 WHEN 3 THEN 1000000000 WHEN 4 THEN 1125899906842624 WHEN 5 THEN 1000000000000 WHEN 6 THEN 1000000 END AS bytes,
     length(CAST(event_id AS VARCHAR)) + 3 AS integer_bytes, length(CAST(strlen(props) AS VARCHAR)) + strlen(props) + 5 AS bulk_bytes FROM events"""
 )
 def sizes_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes with units, and the lengths of replies."""
     events = tables.read(spark, sf_dir, "events")
-    unit = F.element_at(F.array(*map(F.lit, ("B", "kB", "MiB", " GiB"))), (F.col("event_id") % 4 + 1).cast("int"))
+    unit = F.element_at(F.array(*map(F.lit, ("", "KB", "MiB", "B", "PiB", "T", "M", "kb"))), (F.col("event_id") % 8 + 1).cast("int"))
     size = F.concat((F.col("event_id") % 100).cast("string"), unit)
     return events.select(F.col("event_id").alias("id"), text.size_bytes(size).alias("bytes"), text.integer_bytes(F.col("event_id")).alias("integer_bytes"), text.bulk_bytes(F.col("props")).alias("bulk_bytes"))
 
@@ -406,7 +406,8 @@ def even_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events in seven even parts and in batches of 100."""
     events = tables.read(spark, sf_dir, "events").select(F.lit("").alias("queue"), F.col("event_id").alias("id"), F.col("event_id").alias("deadline_ms"))
     ranked = op.placed(events, 10_000).withColumn("i", F.col("rank") - 1)
-    return ranked.select("id", text.even_part(F.col("i"), events.count(), 7).alias("part"), F.expr("i div 100").alias("batch"))
+    total = events.groupBy("queue").agg(F.count("*").alias("total"))
+    return ranked.join(total, "queue").select("id", text.even_part(F.col("i"), F.col("total"), 7).alias("part"), F.expr("i div 100").alias("batch"))
 
 
 @query(
@@ -463,11 +464,38 @@ def json_request_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = tables.read(spark, sf_dir, "events")
     k = F.col("event_id") % 3
     due = F.when(k == 0, F.concat(F.lit("+"), F.col("user_id").cast("string"), F.lit("m"))).when(k == 1, text.rfc3339(tables.millis(F.col("ts"))))
-    value = F.struct(F.when(k != 2, F.col("props")).alias("string"), F.when(k == 2, F.base64(F.col("props").cast("binary"))).alias("base64"))
-    bodies = events.select(F.col("event_id").alias("seq"), F.to_json(F.struct(value.alias("value"), due.alias("deadline"))).alias("body"))
+    fields = F.struct(F.when(k != 2, F.col("props")).alias("string"), F.when(k == 2, F.base64(F.col("props").cast("binary"))).alias("value"), due.alias("deadline"))
+    bodies = events.select(F.col("event_id").alias("seq"), F.to_json(fields).alias("body"))
     return commands.parse_json_enqueue(bodies)
 
 
+@query(
+    """WITH t AS (SELECT event_id, user_id, props, event_id % 10 AS k FROM events)
+    SELECT event_id AS seq, CASE k WHEN 0 THEN 'ENQUEUE' WHEN 1 THEN 'DEQUEUE' WHEN 2 THEN 'REQUEUE' WHEN 3 THEN 'RELEASE' WHEN 4 THEN 'PEEK' WHEN 5 THEN 'INFO' WHEN 6 THEN 'DELETE'
+    WHEN 7 THEN 'REQUEUE' WHEN 8 THEN 'DEQUEUE' END AS op, CAST(user_id AS VARCHAR) AS queue, CASE k WHEN 0 THEN props END AS value,
+    CASE k WHEN 0 THEN 'relative' WHEN 2 THEN 'absolute' WHEN 7 THEN 'relative' END AS deadline_kind,
+    CASE k WHEN 0 THEN event_id * 1000 WHEN 2 THEN event_id WHEN 7 THEN user_id * 60000 END AS deadline_arg_ms,
+    CASE k WHEN 2 THEN event_id WHEN 3 THEN event_id END AS id, k = 7 AS id_any, CASE k WHEN 1 THEN event_id % 7 + 1 WHEN 8 THEN 3 END AS count,
+    CASE k WHEN 1 THEN 0 WHEN 8 THEN event_id * 1000 END AS timeout_ms, CASE WHEN k = 9 THEN 'not found' END AS error FROM t"""
+)
+def http_request_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HTTP requests with JSON bodies and with query strings as operations; one kind has no route."""
+    events = tables.read(spark, sf_dir, "events")
+    i, k = F.col("event_id").cast("string"), F.col("event_id") % 10
+    at = F.concat(F.lit("/queues/"), F.col("user_id").cast("string"))
+    rest = F.element_at(F.array(*map(F.lit, ("/enqueue", "/dequeue", "/requeue", "/release", "/peek", "", "", "/requeue?any=true&deadline=%2B", "/dequeue?count=3&timeout=", "/nothing"))), (k + 1).cast("int"))
+    more = F.when(k == 7, F.concat(F.col("user_id").cast("string"), F.lit("m"))).when(k == 8, F.concat(i, F.lit("s"))).otherwise("")
+    method = F.when(k.isin(4, 5), "GET").when(k == 6, "DELETE").otherwise("POST")
+    body = (
+        F.when(k == 0, F.to_json(F.struct(F.base64(F.col("props").cast("binary")).alias("value"), F.concat(F.lit("+"), i, F.lit("s")).alias("deadline"))))
+        .when(k == 1, F.to_json(F.struct((F.col("event_id") % 7 + 1).alias("count"))))
+        .when(k == 2, F.to_json(F.struct(F.struct(F.col("event_id").alias("id")).alias("id"), F.col("event_id").alias("deadline"))))
+        .when(k == 3, F.to_json(F.struct(F.col("event_id").alias("id"))))
+    )
+    parsed = commands.parse_http(events.select(F.col("event_id").alias("seq"), method.alias("method"), F.concat(at, rest, more).alias("path"), body.alias("body")))
+    return parsed.drop("method", "path", "body")
+
+
 @query(
     """SELECT event_id AS seq, CASE event_id % 3 WHEN 0 THEN 'OK' WHEN 1 THEN 'NoSuchQueue' ELSE 'ItemNotDequeued' END AS status,
     CASE event_id % 3 WHEN 0 THEN 200 WHEN 1 THEN 404 ELSE 409 END AS http, CASE event_id % 3 WHEN 0 THEN 'OK' WHEN 1 THEN 'NOT_FOUND' ELSE 'FAILED_PRECONDITION' END AS grpc,
@@ -485,10 +513,26 @@ def key_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys packed into 16 bytes, and unpacked."""
     events = tables.read(spark, sf_dir, "events")
     packed = events.select(binary.packed_key(tables.millis(F.col("ts")), F.col("event_id"), F.col("event_type") == "error").alias("key"))
-    return packed.select(binary.unpacked_key("key").alias("k"), F.octet_length("key").cast("long").alias("size")).select("k.id", "k.deadline_ms", "k.tombstone", "size")
+    return packed.select(binary.unpacked_key(F.col("key")).alias("k"), F.octet_length("key").cast("long").alias("size")).select("k.id", "k.deadline_ms", "k.tombstone", "size")
 
 
-@query()
+@query(
+    """WITH hexed AS (SELECT event_id, strlen(props) AS n, hex(encode(props)) AS x FROM events),
+    listed AS (SELECT event_id, n, list_transform(range(n), lambda i: CAST(16 * (instr('0123456789ABCDEF', x[2 * i + 1]) - 1) + instr('0123456789ABCDEF', x[2 * i + 2]) - 1 AS UBIGINT)) AS b FROM hexed),
+    words AS (
+      SELECT event_id, n, b, list_transform(range(n // 4), lambda j: b[4 * j + 1] + b[4 * j + 2] * 256 + b[4 * j + 3] * 65536 + b[4 * j + 4] * 16777216) AS k,
+        CAST(coalesce(list_sum(list_transform(range(n - n % 4, n), lambda i: b[i + 1] * (1 << (8 * (i % 4))))), 0) AS UBIGINT) AS t FROM listed
+    ), scaled AS (
+      SELECT event_id, n, b, list_transform(k, lambda v: (v * 3432918353) & 4294967295) AS k, (t * 3432918353) & 4294967295 AS t FROM words
+    ), turned AS (
+      SELECT event_id, n, b, list_transform(k, lambda v: ((((v << 15) | (v >> 17)) & 4294967295) * 461845907) & 4294967295) AS k, ((((t << 15) | (t >> 17)) & 4294967295) * 461845907) & 4294967295 AS t FROM scaled
+    ), folded AS (
+      SELECT event_id, n, b, xor(xor(list_reduce(list_prepend(CAST(0 AS UBIGINT), k), lambda h, v: ((((xor(h, v) << 13) | (xor(h, v) >> 19)) & 4294967295) * 5 + 3864292196) & 4294967295), t), CAST(n AS UBIGINT)) AS h FROM turned
+    ), one AS (SELECT event_id, n, b, (xor(h, h >> 16) * 2246822507) & 4294967295 AS h FROM folded),
+    two AS (SELECT event_id, n, b, (xor(h, h >> 13) * 3266489909) & 4294967295 AS h FROM one)
+    SELECT event_id AS id, CAST(xor(h, h >> 16) AS BIGINT) AS murmur3,
+      CAST((n + coalesce(list_sum(list_transform(range(n), lambda i: (n - i) * b[i + 1])), 0)) % 65521 * 65536 + (1 + coalesce(list_sum(b), 0)) % 65521 AS BIGINT) AS adler32 FROM two"""
+)
 def checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checksums of values."""
     value = F.col("props").cast("binary")

@@ -92,15 +92,92 @@ def parse_words(rows: DataFrame, words: str) -> DataFrame:
     return out.drop("__w", "__n")
 
 
-def parse_json_enqueue(bodies: DataFrame, body: str = "body") -> DataFrame:
-    """The value and deadline of JSON enqueue bodies; the value is base64 unless given as a string."""
-    parsed = F.from_json(body, "value struct<string: string, base64: string>, deadline string")
-    out = bodies.withColumn("__b", parsed)
-    text = F.col("__b.deadline")
+#: The fields that bodies and query strings may have, as texts.
+_FIELDS = ("value", "string", "deadline", "timeout", "count", "id", "any")
+# What each method and last part of a path asks for; a path without one has the queue's name last.
+ROUTES = {
+    ("POST", "enqueue"): "ENQUEUE",
+    ("POST", "dequeue"): "DEQUEUE",
+    ("POST", "requeue"): "REQUEUE",
+    ("POST", "release"): "RELEASE",
+    ("POST", "compact"): "COMPACT",
+    ("GET", "peek"): "PEEK",
+    ("GET", "poke"): "POKE",
+    ("GET", ""): "INFO",
+    ("DELETE", ""): "DELETE",
+}
+
+
+def _deadline(text: Column) -> tuple[Column, Column]:
+    """The kind and the argument of a deadline: none, "+" and a duration, milliseconds or a date."""
     kind = F.when(text.isNull(), "now").when(text.startswith("+"), "relative").otherwise("absolute")
-    argument = F.when(kind == "relative", duration_ms(F.substr(text, F.lit(2)))).when(kind == "absolute", F.coalesce(signed(text), rfc3339_ms(text)))
-    value = F.coalesce(F.col("__b.value.string"), F.unbase64("__b.value.base64").cast("string"))
-    return out.select(*bodies.columns, value.alias("value"), kind.alias("deadline_kind"), argument.alias("deadline_arg_ms")).drop(body)
+    return kind, F.when(kind == "relative", duration_ms(F.substr(text, F.lit(2)))).when(kind == "absolute", F.coalesce(signed(text), rfc3339_ms(text)))
+
+
+def _value(fields: Column) -> Column:
+    """The payload: base64 in the field value, or plain in the field string."""
+    return F.coalesce(fields["string"], F.try_to_binary(fields["value"], F.lit("base64")).cast("string"))
+
+
+def parse_json_enqueue(bodies: DataFrame, body: str = "body") -> DataFrame:
+    """The value and deadline of JSON enqueue bodies; the value is base64 unless it is given in the field string."""
+    fields = F.from_json(F.col(body), ", ".join(f"{f} string" for f in _FIELDS))
+    kind, argument = _deadline(fields["deadline"])
+    kept = [c for c in bodies.columns if c != body]
+    return bodies.select(*kept, _value(fields).alias("value"), kind.alias("deadline_kind"), argument.alias("deadline_arg_ms"))
+
+
+def parse_http(requests: DataFrame) -> DataFrame:
+    """The operations of HTTP requests (method, path, body); other columns stay.
+
+    Fields come from a JSON body or, where there is none, from the path's query string. An unknown route, a body that is
+    no JSON object and a field of a wrong form have an error; so has a value, id or deadline that is missing where
+    the operation needs it.
+    """
+    kinds = ", ".join(f"{f} string" for f in _FIELDS)
+    path = F.regexp_extract("path", r"^([^?]*)", 1)
+    asked = F.regexp_extract("path", r"^[^?]*\?(.*)$", 1)
+    last = F.regexp_extract(path, r"^/queues/[^/]+/([a-z]+)$", 1)
+    known = path.rlike(r"^/queues/[^/]+(/[a-z]+)?$")
+    found = F.lit(None).cast("string")
+    for (method, part), name in ROUTES.items():
+        found = F.when(known & (F.col("method") == method) & (last == part), name).otherwise(found)
+    pairs = F.expr("transform_values(str_to_map(__q, '&', '='), (k, v) -> if(v IS NULL, '', try_url_decode(v)))")
+    out = requests.withColumns({"op": found, "queue": F.try_url_decode(F.regexp_extract(path, r"^/queues/([^/]+)", 1)), "__q": asked})
+    out = out.withColumn("__p", F.when(F.col("__q") != "", pairs)).withColumn("__j", F.from_json("body", kinds))
+    out = out.withColumn("__f", F.when(F.col("body").isNotNull(), F.col("__j")).otherwise(F.struct(*[F.col("__p")[f].alias(f) for f in _FIELDS])))
+    f, op = F.col("__f"), F.col("op")
+    inner = F.from_json(f["id"], "id string, any string")
+    nested = (op == "REQUEUE") & F.col("body").isNotNull()
+    id_, any_ = F.when(nested, inner["id"]).otherwise(f["id"]), F.when(nested, inner["any"]).otherwise(f["any"])
+    by_id, timed, counted = op.isin("REQUEUE", "RELEASE"), op.isin("ENQUEUE", "REQUEUE"), op == "DEQUEUE"
+    is_any = by_id & F.coalesce(any_.isin("true", ""), F.lit(False))
+    kind, argument = _deadline(f["deadline"])
+    timeout = F.coalesce(unsigned(f["timeout"]), duration_ms(f["timeout"]))
+    wrong = F.col("body").isNotNull() & ~F.coalesce(F.trim("body").startswith("{") & F.expr("try_parse_json(body) IS NOT NULL"), F.lit(False))
+    error = (
+        F.when(op.isNull(), "not found")
+        .when(wrong, "invalid body")
+        .when((op == "ENQUEUE") & _value(f).isNull(), "missing value")
+        .when(timed & (kind != "now") & argument.isNull(), "invalid deadline")
+        .when((op == "REQUEUE") & (kind == "now"), "missing deadline")
+        .when(by_id & ~is_any & unsigned(id_).isNull(), "invalid id")
+        .when(counted & f["count"].isNotNull() & (F.coalesce(unsigned(f["count"]), F.lit(0)) < 1), "invalid count")
+        .when(counted & f["timeout"].isNotNull() & timeout.isNull(), "invalid timeout")
+    )
+    out = out.withColumns(
+        {
+            "value": F.when(op == "ENQUEUE", _value(f)),
+            "deadline_kind": F.when(timed, kind),
+            "deadline_arg_ms": F.when(timed, argument),
+            "id": F.when(by_id & ~is_any, unsigned(id_)),
+            "id_any": F.coalesce(is_any, F.lit(False)),
+            "count": F.when(counted, F.coalesce(unsigned(f["count"]), F.lit(1).cast("long"))),
+            "timeout_ms": F.when(counted, F.coalesce(timeout, F.lit(0).cast("long"))),
+            "error": error,
+        }
+    )
+    return out.drop("__q", "__p", "__j", "__f")
 
 
 def replies(responses: DataFrame) -> DataFrame:
