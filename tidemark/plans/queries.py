@@ -236,6 +236,27 @@ def replay_blocking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("queue", "status", F.get("items", F.lit(0))["id"].alias("id"))
 
 
+@query(
+    """WITH t AS (SELECT event_id AS id, CAST(user_id AS VARCHAR) AS queue, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events)
+    SELECT queue, 4 * id AS seq, 'OK' AS status, id, ms AS deadline_ms, NULL AS item, CAST(NULL AS BIGINT) AS pending, CAST(NULL AS BIGINT) AS dequeued FROM t
+    UNION ALL SELECT queue, 4 * id + 1, 'OK', NULL, NULL, id, NULL, NULL FROM t
+    UNION ALL SELECT queue, 4 * id + 2, 'OK', NULL, NULL, NULL, 0, r - 1 FROM t WHERE r > 1"""
+)
+def replay_waiters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of as many dequeues as a queue has items, which wait; each later item goes to the oldest of them.
+
+    Every batch of an item also asks for info, which sees the state before the batch.
+    """
+    events = tables.items(spark, sf_dir).select("queue", "id", "enqueue_ms")
+    first = events.groupBy("queue").agg(F.min("id").alias("first_id"), F.min("enqueue_ms").alias("first_ms"))
+    joined = events.join(first, "queue")
+    put = _ops(events, seq=4 * F.col("id"), batch_id=2 * F.col("id"), now_ms=F.col("enqueue_ms"), queue=F.col("queue"), op=F.lit("enqueue"), id=F.col("id"))
+    wait = _ops(joined, seq=4 * F.col("id") + 1, batch_id=2 * F.col("first_id") + 1, now_ms=F.col("first_ms"), queue=F.col("queue"), op=F.lit("dequeue"), timeout_ms=F.lit(1 << 40))
+    look = _ops(joined.where("id > first_id"), seq=4 * F.col("id") + 2, batch_id=2 * F.col("id"), now_ms=F.col("enqueue_ms"), queue=F.col("queue"), op=F.lit("info"))
+    got = replay.replay(put.unionByName(wait).unionByName(look))
+    return got.select("queue", "seq", "status", "id", "deadline_ms", F.get("items", F.lit(0))["id"].alias("item"), "pending", "dequeued")
+
+
 @query(
     f"""WITH {LIVE_SQL}, asks AS (SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS queue, event_id % 4 + 1 AS asked FROM events WHERE event_type = 'click'),
     spans AS (SELECT seq, queue, asked, coalesce(sum(asked) OVER (PARTITION BY queue ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken FROM asks),

@@ -18,40 +18,70 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 
 
 class _Working(MutableMapping):
-    """Working items in map state, read one by one; ids has them in order of their dequeue."""
+    """Working items in map state, each with its neighbours in the order of their dequeue.
 
-    def __init__(self, stored: object, ids: dict[int, None]) -> None:
-        self.stored, self.ids = stored, ids
+    Only the last one's id and their number are kept beside the map, so a step reads the items that it touches and
+    their neighbours, however many are out.
+    """
 
-    def __getitem__(self, id_: int) -> Item:
-        if id_ not in self.ids:
+    def __init__(self, stored: object, tail: int | None, count: int) -> None:
+        self.stored, self.tail, self.count = stored, tail, count
+
+    def _get(self, id_: int) -> list:
+        if not self.stored.containsKey((id_,)):
             raise KeyError(id_)
         return pickle.loads(self.stored.getValue((id_,))[0])
 
+    def _put(self, id_: int, item: Item, before: int | None, after: int | None) -> None:
+        self.stored.updateValue((id_,), (pickle.dumps([item, before, after]),))
+
+    def __getitem__(self, id_: int) -> Item:
+        return self._get(id_)[0]
+
     def __setitem__(self, id_: int, item: Item) -> None:
-        self.ids[id_] = None
-        self.stored.updateValue((id_,), (pickle.dumps(item),))
+        if id_ in self:
+            _, before, after = self._get(id_)
+            self._put(id_, item, before, after)
+            return
+        self._put(id_, item, self.tail, None)
+        self._relink(self.tail, after=id_)
+        self.tail, self.count = id_, self.count + 1
+
+    def _relink(self, id_: int | None, **ends: int | None) -> None:
+        if id_ is not None:
+            item, before, after = self._get(id_)
+            self._put(id_, item, ends.get("before", before), ends.get("after", after))
 
     def __delitem__(self, id_: int) -> None:
-        del self.ids[id_]
+        _, before, after = self._get(id_)
         self.stored.removeKey((id_,))
+        self._relink(before, after=after)
+        self._relink(after, before=before)
+        self.tail, self.count = before if id_ == self.tail else self.tail, self.count - 1
+
+    def __contains__(self, id_: object) -> bool:
+        return id_ is not None and self.stored.containsKey((id_,))
 
     def popitem(self) -> tuple[int, Item]:
-        id_ = next(reversed(self.ids))
-        return id_, self.pop(id_)
+        if self.tail is None:
+            raise KeyError("no working item")
+        return self.tail, self.pop(self.tail)
 
     def __iter__(self) -> Iterator[int]:
-        return iter(self.ids)
+        at = self.tail
+        while at is not None:
+            yield at
+            at = self._get(at)[1]
 
     def __len__(self) -> int:
-        return len(self.ids)
+        return self.count
 
 
 class QueueProcessor(StatefulProcessor):
     """One queue's machine over stored state.
 
-    A small value has the counters, the waiting dequeues, the index of deadline buckets and the working ids;
-    maps have the items of each bucket, the working items and the payloads. A micro-batch reads and writes
+    A small value has the counters, the waiting dequeues and the index of deadline buckets; maps have the items
+    of each bucket, the working items and the payloads. A micro-batch reads and writes
     the buckets and items that its operations touch, however many the queue holds.
     """
 
@@ -63,7 +93,7 @@ class QueueProcessor(StatefulProcessor):
         self.values = handle.getMapState("values", "id long", "value string")
 
     def _load(self) -> QueueMachine:
-        fields, index, count, ids = pickle.loads(self.state.get()[0]) if self.state.exists() else ({}, [], 0, {})
+        fields, index, count, working = pickle.loads(self.state.get()[0]) if self.state.exists() else ({}, [], 0, (None, 0))
 
         def load(number: int) -> list:
             return pickle.loads(self.buckets.getValue((number,))[0])
@@ -74,7 +104,7 @@ class QueueProcessor(StatefulProcessor):
             elif self.buckets.containsKey((number,)):
                 self.buckets.removeKey((number,))
 
-        machine = QueueMachine(Pending(load=load, save=save, index=index, count=count), _Working(self.working, ids))
+        machine = QueueMachine(Pending(load=load, save=save, index=index, count=count), _Working(self.working, *working))
         for name, value in fields.items():
             setattr(machine, name, value)
         return machine
@@ -82,7 +112,7 @@ class QueueProcessor(StatefulProcessor):
     def _save(self, machine: QueueMachine) -> None:
         machine.pending.flush()
         fields = {k: getattr(machine, k) for k in ("exists", "next_id", "last", "waiting")}
-        self.state.update((pickle.dumps((fields, machine.pending.index, machine.pending.count, machine.working.ids)),))
+        self.state.update((pickle.dumps((fields, machine.pending.index, machine.pending.count, (machine.working.tail, machine.working.count))),))
         for at in list(self.handle.listTimers()):
             self.handle.deleteTimer(at)
         if (at := machine.wake_at()) is not None:
@@ -97,17 +127,16 @@ class QueueProcessor(StatefulProcessor):
         return responses
 
     def _step(self, machine: QueueMachine, batch: list[Op], now: int) -> list[Response]:
-        """A batch in which the machine sees payloads as their numbers."""
-        gone = {o.seq: machine.working.get(o.id) for o in batch if o.op == "release"}
+        """A batch in which the machine sees payloads as their numbers; those of items that are gone after it go too."""
         for o in batch:
             if o.op == "enqueue" and o.value is not None:
                 self.values.updateValue((o.seq,), (o.value,))
                 o.value = o.seq
         out = self._filled(machine.step(batch, now))
-        for r in out:
-            item = gone.get(r.seq)
-            if item is not None and r.status == "OK" and item.value is not None:
+        for item in machine.dropped:
+            if item.value is not None and self.values.containsKey((item.value,)):
                 self.values.removeKey((item.value,))
+        machine.dropped.clear()
         return out
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:

@@ -115,6 +115,8 @@ class QueueMachine:
         self.next_id = 0
         self.last = (0, 0)
         self.waiting: list[list[int]] = []
+        #: Items that releases and deletes have removed for good, for whoever keeps their payloads.
+        self.dropped: list[Item] = []
 
     def _resolve(self, op: Op, now_ms: int, id_: int, last: tuple[int, int]) -> int:
         asked = {"relative": now_ms + op.deadline_arg_ms, "absolute": op.deadline_arg_ms}.get(op.deadline_kind, now_ms)
@@ -144,6 +146,7 @@ class QueueMachine:
     def step(self, batch: list[Op], now_ms: int) -> list[Response]:
         """The responses to a batch and to the waiting dequeues that it serves or that end; an empty batch is a timer."""
         out: list[Response] = []
+        self.dropped.clear()
         if not self.exists and not any(o.op == "enqueue" for o in batch):
             return [Response(o.seq, NO_QUEUE) for o in batch]
         early = []
@@ -167,6 +170,7 @@ class QueueMachine:
                 if item is None:
                     out.append(Response(op.seq, NOT_DEQUEUED))
                 elif op.op == "release":
+                    self.dropped.append(item)
                     out.append(Response(op.seq, OK, item.id))
                 else:
                     due = self._resolve(op, now_ms, item.id, last)
@@ -174,7 +178,7 @@ class QueueMachine:
                     self.pending.push(again)
                     out.append(Response(op.seq, OK, again.id, due))
             elif op.op == "peek":
-                out.append(Response(op.seq, OK if head else NOT_READY, items=[head] if head else []))
+                out.append(Response(op.seq, OK if head else NOT_READY, items=[dict(head)] if head else []))
             elif op.op == "info":
                 info = info or (stored - len(self.working), len(self.working))
                 out.append(Response(op.seq, OK, pending=info[0], dequeued=info[1]))
@@ -196,9 +200,9 @@ class QueueMachine:
         if any(o.op == "delete" for o in batch):
             out += [Response(seq, NOT_READY) for seq, _, _ in self.waiting]
             while len(self.pending):
-                self.pending.pop()
+                self.dropped.append(self.pending.pop())
             while len(self.working):
-                self.working.popitem()
+                self.dropped.append(self.working.popitem()[1])
             self.exists, self.last, self.waiting = False, (0, 0), []
         return out
 
