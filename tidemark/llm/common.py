@@ -116,6 +116,14 @@ def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Itera
         _TRIM(0)
 
 
+class Numbers(dict):
+    """A number for each thing that is looked up, from 0 on in order of first sight."""
+
+    def __missing__(self, key: object) -> int:
+        self[key] = number = len(self)
+        return number
+
+
 def texts(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     """The texts of a column as UTF-8 bytes."""
     values = batch.column(batch.schema.get_field_index(column))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import minhash
-from tidemark.llm.common import ASCII_LOWER, chunks, discard, read, same, stored, texts, unused
+from tidemark.llm.common import ASCII_LOWER, Numbers, chunks, discard, read, same, stored, texts, unused
 from tidemark.llm.common import checkpoint as written
 from tidemark.llm.components import components
 
@@ -152,8 +152,8 @@ _SETS = "doc_id {}, u long, fp long, hash long, bands array<long>, words array<i
 
 def _banded(found: list[bytes | None]) -> tuple[list[np.ndarray], dict[int, np.ndarray]]:
     """The 64-bit hashes of each text's lower-cased words, and the band keys of its shingles where it has a word."""
-    ids: dict[bytes, int] = {}
-    own = [np.array([ids.setdefault(w, len(ids)) for w in t.translate(ASCII_LOWER).split()] if t else [], dtype=np.int64) for t in found]
+    ids = Numbers()
+    own = [np.array(list(map(ids.__getitem__, t.translate(ASCII_LOWER).split())) if t else [], dtype=np.int64) for t in found]
     hashed = np.array([xxhash.xxh64_intdigest(w, 3) for w in ids], dtype=np.uint64)
     words = [hashed[w] for w in own]
     full = [i for i, w in enumerate(words) if len(w)]
