@@ -1,7 +1,7 @@
 import random
 
 from tidemark.operators import entries as op
-from tidemark.sources import commands, tables, wal
+from tidemark.sources import commands, files, tables, wal
 from tidemark.sources.store import SegmentStore
 
 SF = "/root/testdata/sf0.001"
@@ -57,6 +57,7 @@ def test_store_flushes_reads_and_compacts(spark, tmp_path):
     assert key(store.entries()) == key(log) and store.manifest().count() == 2
     store.compact()
     assert key(store.entries()) == key(op.unpaired(log)) and store.manifest().count() == 1
+    assert sorted(files.numbered(spark, str(tmp_path), "generation")) == [2]
     plan = store.entries().where("deadline_ms > 5")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(deadline_ms,5)" in plan
 
@@ -103,3 +104,34 @@ def test_http_requests(spark):
     assert got[9][3:7] == ("relative", 3_600_000, None, True) and got[10][-1] == "missing deadline"
     assert got[11][5:7] == (4, False) and got[12][5:7] == (None, True) and got[13][-1] == "invalid id"
     assert [g[0] for g in got[14:19]] == ["PEEK", "INFO", "DELETE", "POKE", "COMPACT"] and [g[-1] for g in got[14:]] == [None] * 5 + ["not found"] * 2
+
+
+def test_log_flushes_and_recovery(spark, tmp_path):
+    store, log = SegmentStore(spark, str(tmp_path)), tables.log(spark, SF)
+    key = lambda df: sorted((r.queue, r.kind, r.id, r.deadline_ms) for r in df.collect())
+    parts = [log.where(f"id % 4 = {k}") for k in range(4)]
+    write = store.sink(flush_bytes=1 << 40)
+    for k in (0, 1, 1):
+        write(parts[k], k)
+    assert key(store.entries()) == key(parts[0].union(parts[1])) and store.manifest().count() == 0
+    store.sink(flush_bytes=0)(parts[2], 2)
+    assert store.manifest().count() == 1 and store._waiting() == {} and store._last() == (0, 2)
+    write(parts[2], 2)
+    assert store._waiting() == {}
+    write(parts[3], 3)
+    parts[0].write.parquet(f"{tmp_path}/generation=7")
+    parts[0].write.parquet(f"{tmp_path}/log/batch=1")
+    assert key(SegmentStore(spark, str(tmp_path)).entries()) == key(log)
+    assert SegmentStore(spark, str(tmp_path)).recover() == ["generation=7", "log/batch=1"]
+    assert key(store.entries()) == key(log) and store.flush_log() and not store.flush_log()
+    store.compact()
+    assert key(store.entries()) == key(op.unpaired(log)) and store._last() == (2, 3)
+
+
+def test_store_as_a_stream_sink(spark, tmp_path):
+    log, store = tables.log(spark, SF), SegmentStore(spark, f"{tmp_path}/store")
+    log.repartition(3, "id").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    query = stream.writeStream.foreachBatch(store.sink(flush_bytes=5_000)).option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    assert store.manifest().count() >= 1 and store.entries().count() == log.count()
