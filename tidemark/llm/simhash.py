@@ -147,7 +147,7 @@ def near_groups(docs: DataFrame, size: int = 3, radius: int = 2, id_col: str = "
     return _grouped(rows, links(rows.select("fp").distinct(), radius)).select("doc_id", "fp", "component_id")
 
 
-_SETS = "doc_id {}, u long, fp long, hash long, bands array<long>, words array<int>"
+_SETS = "doc_id {}, u long, fp long, hash long, bands array<long>, words binary"
 
 
 def _banded(found: list[bytes | None]) -> tuple[list[np.ndarray], dict[int, np.ndarray]]:
@@ -184,7 +184,7 @@ def _sets(docs: DataFrame) -> DataFrame:
                         "fp": pa.array(fps),
                         "hash": pa.array(np.array(hashes, dtype=np.uint64).view(np.int64)),
                         "bands": pa.array([bands.get(i) for i in range(len(found))], pa.list_(pa.int64())),
-                        "words": pa.array([minhash.short(w) for w in words], pa.list_(pa.int32())),
+                        "words": pa.array([minhash.short(w).tobytes() for w in words], pa.binary()),
                     }
                 )
 
