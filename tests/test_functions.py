@@ -61,6 +61,24 @@ def test_checksum_columns(spark):
     assert column(spark, data, binary.adler32, "binary") == [None if d is None else zlib.adler32(d) for d in data]
 
 
+@given(st.lists(st.binary(max_size=40), max_size=12))
+def test_murmur3_of_many(values):
+    assert binary.murmur3_all(values).tolist() == [binary.murmur3_32(v) for v in values]
+
+
+def test_times_as_seconds_and_nanos(spark):
+    times = [0, 1, -1, 999, -1_000, 1_234_567, -1_234_567, None]
+    got = column(spark, times, text.seconds_and_nanos, "long")
+    assert [None if x is None else tuple(x) for x in got] == [(0, 0), (0, 10**6), (0, -(10**6)), (0, 999 * 10**6), (-1, 0), (1_234, 567 * 10**6), (-1_234, -567 * 10**6), None]
+    assert column(spark, times, lambda c: text.millis_of(text.seconds_and_nanos(c)), "long") == times
+
+
+def test_elapsed(spark):
+    assert column(spark, [5, 7, None], lambda c: text.elapsed_ms(c, F.lit(5)), "long") == [0, 2, None]
+    with pytest.raises(Exception, match="negative duration"):
+        column(spark, [4], lambda c: text.elapsed_ms(c, F.lit(5)), "long")
+
+
 @given(st.integers(-(1 << 47), (1 << 47) - 1), st.integers(0, (1 << 64) - 1), st.booleans())
 def test_keys_pack_and_unpack(deadline, id_, gone):
     assert binary.unpack_key(binary.pack_key(deadline, id_, gone)) == (deadline, id_, gone)

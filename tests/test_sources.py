@@ -1,7 +1,7 @@
 import random
 
 from tidemark.operators import entries as op
-from tidemark.sources import commands, files, tables, wal
+from tidemark.sources import commands, files, ids, tables, wal
 from tidemark.sources.store import SegmentStore
 
 SF = "/root/testdata/sf0.001"
@@ -135,3 +135,14 @@ def test_store_as_a_stream_sink(spark, tmp_path):
     query = stream.writeStream.foreachBatch(store.sink(flush_bytes=5_000)).option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start()
     assert query.awaitTermination(120)
     assert store.manifest().count() >= 1 and store.entries().count() == log.count()
+
+
+def test_ids_ascend_over_restarts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ids, "RESERVED", 100)
+    monkeypatch.setattr(ids, "LEAST_LEFT", 50)
+    source = ids.IdSource(spark, str(tmp_path))
+    assert source.take(0) == range(1, 1) and not (tmp_path / "id-ceiling").exists()
+    assert source.take(3) == range(1, 4) and source.ceiling == 104 and source.take(10) == range(4, 14) and source.ceiling == 104
+    assert source.take(60) == range(14, 74) and source.ceiling == 174
+    again = ids.IdSource(spark, str(tmp_path))
+    assert again.take(2) == range(174, 176) and again.ceiling == 276

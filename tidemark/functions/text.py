@@ -38,6 +38,23 @@ def rfc3339(ms: Column) -> Column:
     return F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
+def elapsed_ms(later_ms: Column, earlier_ms: Column) -> Column:
+    """Milliseconds from one time to a later one; an error where it isn't later, null for null."""
+    return F.when(later_ms < earlier_ms, F.raise_error(F.lit("negative duration")).cast("long")).otherwise(later_ms - earlier_ms)
+
+
+def seconds_and_nanos(ms: Column) -> Column:
+    """A time in milliseconds as a struct (seconds, nanos), both cut towards zero and of its sign."""
+    seconds = (ms - ms % 1_000) / 1_000
+    return F.when(ms.isNotNull(), F.struct(seconds.cast("long").alias("seconds"), (ms % 1_000 * 1_000_000).cast("int").alias("nanos")))
+
+
+def millis_of(parts: Column) -> Column:
+    """The milliseconds of a struct (seconds, nanos); what is below a millisecond is cut off towards zero."""
+    nanos = parts["nanos"].cast("long")
+    return 1_000 * parts["seconds"] + ((nanos - nanos % 1_000_000) / 1_000_000).cast("long")
+
+
 def deadline(text: Column, now_ms: Column) -> Column:
     """The deadline of a request: null text is now, "+" and a duration relative, digits or a date absolute."""
     relative = now_ms + duration_ms(F.substr(text, F.lit(2)))

@@ -452,6 +452,16 @@ def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.items(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.count("*") / span, 9).alias("per_second"))
 
 
+@query(
+    f"""WITH {ITEMS_SQL} SELECT id, deadline_ms // 1000 AS seconds, CAST(deadline_ms % 1000 * 1000000 AS INTEGER) AS nanos, deadline_ms AS back_ms, deadline_ms - enqueue_ms AS wait_ms FROM items"""
+)
+def timestamp_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deadlines as seconds and nanoseconds and back, and the time until each."""
+    parts = text.seconds_and_nanos(F.col("deadline_ms"))
+    found = tables.items(spark, sf_dir).withColumn("parts", parts)
+    return found.select("id", "parts.seconds", "parts.nanos", text.millis_of(F.col("parts")).alias("back_ms"), text.elapsed_ms(F.col("deadline_ms"), F.col("enqueue_ms")).alias("wait_ms"))
+
+
 @query(
     """WITH t AS (SELECT event_id, CAST(user_id AS VARCHAR) AS queue, event_id % 6 AS k FROM events)
     SELECT event_id AS seq, queue, CASE k WHEN 0 THEN 'ENQUEUE' WHEN 1 THEN 'DEQUEUE' WHEN 2 THEN 'RELEASE' WHEN 3 THEN 'REQUEUE' WHEN 4 THEN 'PEEK' ELSE 'DEQUEUE' END AS op,
