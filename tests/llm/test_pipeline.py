@@ -3,6 +3,9 @@ import sentencepiece
 
 import public_tokenizers
 from tests.llm.data import ODD, SF, clashing, docs, text
+from tests.llm.test_simhash import by_hand, joined
+from tidemark.llm import decontaminate, langid
+from tidemark.llm.common import ASCII_LOWER
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -51,6 +54,45 @@ def test_odd_and_empty_tables(spark, tmp_path):
         assert table.count() == (6 if rows else 0)
 
 
-def test_run(spark):
+def shared(texts, size, words):
+    """The ids of texts that have a run of so many words that another text has too."""
+    holders = {}
+    for i, t in texts.items():
+        own = words(t)
+        for k in range(len(own) - size + 1):
+            holders.setdefault(tuple(own[k : k + size]), set()).add(i)
+    return {i for found in holders.values() if len(found) > 1 for i in found}
+
+
+def test_run_against_brute_force(spark):
+    """The whole table: who is left, what is cut, and that nothing else changes, by plain comparison of all pairs."""
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     got = pipeline.run(spark, SF)
-    assert 150 < got.count() < 200 and got.columns == ["doc_id", "ids", "n_tokens", "round_trip"]
+    assert got.columns == ["doc_id", "ids", "n_tokens", "round_trip"]
+    left = {r.doc_id: library.decode(list(r.ids)) for r in got.collect() if r.round_trip and r.n_tokens == len(r.ids)}
+    assert len(left) == got.count()
+    table = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    lower = lambda t: t.encode().translate(ASCII_LOWER).split()
+
+    in_language = {r.doc_id for r in langid.accepted(spark.read.parquet(f"{SF}/documents.parquet"), langid.taught(spark.read.parquet(f"{SF}/documents.parquet"))).collect()}
+    texts = {i: t for i, t in table.items() if i in in_language}
+    fps = {i: by_hand(t) for i, t in texts.items()}
+    sets = {i: {tuple(lower(t)[k : k + 5]) for k in range(max(1, len(lower(t)) - 4))} for i, t in texts.items()}
+    near = [(a, b) for a in texts for b in texts if a < b and ((fps[a] ^ fps[b]).bit_count() <= 2 or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))]
+    first = {i: texts[i] for i, top in joined(near, texts).items() if i == top}
+    assert set(left) <= set(first)
+
+    assert not shared(left, 50, lower)
+    windows = {tuple(w[k : k + 10]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() for w in [decontaminate.words(r.text.encode())] for k in range(max(1, len(w) - 9))}
+    assert not any(tuple(w[k : k + 10]) in windows for t in left.values() for w in [decontaminate.words(t.encode())] for k in range(len(w)))
+    hit = {i for i, t in first.items() for w in [decontaminate.words(t.encode())] if any(tuple(w[k : k + 10]) in windows for k in range(len(w)))}
+    alike = shared(first, 12, lower)
+    for i, t in first.items():
+        if i not in hit | alike:
+            assert left[i] == t
+        elif i in left:
+            rest = iter(t.split())
+            assert all(any(w.endswith(x) or w.startswith(x) for w in rest) for x in left[i].split())
+        else:
+            assert i in alike | hit
+    assert len(hit) > 0 and len(first) < len(table)
