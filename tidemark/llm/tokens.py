@@ -1,6 +1,7 @@
 """Token counts of a byte-level BPE with a shortcut for pre-tokens that are one token.
 
-Which vocabulary strings encode alone as exactly one token is proved once, by encoding each of them. A
+Which vocabulary strings encode alone as exactly one token is proved once, on the driver before the texts are read, by
+encoding each of them; the workers get the proved strings, of which there are no more than the vocabulary has. A
 pre-token that is such a string counts one without a merge; only the others are merged, each distinct one
 once while it is remembered.
 """
@@ -29,7 +30,7 @@ TEXT_BYTES = 1 << 20
 class WholeTokenCounter:
     """Counts tokens as the tokenizer's library does, without added or special tokens of its own."""
 
-    def __init__(self, path: str, pattern: str) -> None:
+    def __init__(self, path: str, pattern: str, proved: frozenset[str] | None = None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -37,11 +38,11 @@ class WholeTokenCounter:
         self.pattern = regex.compile(pattern)
         specials = sorted((t.content for t in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.special = regex.compile("|".join(regex.escape(s) for s in specials)) if specials else None
-        self.whole = self._proved()
+        self.whole = self._proved() if proved is None else proved
         self.merged: dict[str, int] = {}
         self.odd: dict[str, bool] = {}
 
-    def _proved(self) -> dict[str, int]:
+    def _proved(self) -> frozenset[str]:
         """The vocabulary strings that alone are one pre-token and one token."""
         strings = []
         for i in range(self.library.get_vocab_size(with_added_tokens=False)):
@@ -49,7 +50,7 @@ class WholeTokenCounter:
             if text and "�" not in text and self.pattern.findall(text) == [text]:
                 strings.append((i, text))
         encoded = self.library.encode_batch([text for _, text in strings], add_special_tokens=False)
-        return {text: 1 for (i, text), e in zip(strings, encoded, strict=True) if e.ids == [i]}
+        return frozenset(text for (i, text), e in zip(strings, encoded, strict=True) if e.ids == [i])
 
     def _unassigned(self, text: str) -> bool:
         """Whether text holds a code point that Unicode versions may class differently."""
@@ -96,12 +97,13 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
 
     A null text counts as empty, with 0 tokens; null ids and repeated rows stay; an empty table gives no
     rows; other columns are ignored. Texts may be of any length: a block of pre-tokens is held at a time.
-    path is a vocabulary file that every executor has, pattern its pre-tokenizer's expression.
+    path is a vocabulary file that the driver and every executor have, pattern its pre-tokenizer's expression.
     """
+    proved = docs.sparkSession.sparkContext.broadcast(_counter(path, pattern).whole)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(path, pattern)
+        counter = _counter(path, pattern, proved.value)
         for batch in batches:
             for part in chunks(batch, "text", TEXT_BYTES):
                 found = part["text"].to_pylist()
@@ -119,10 +121,10 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
 _COUNTERS: dict[tuple[str, str], WholeTokenCounter] = {}
 
 
-def _counter(path: str, pattern: str) -> WholeTokenCounter:
-    """The worker's own counter, made once."""
+def _counter(path: str, pattern: str, proved: frozenset[str] | None = None) -> WholeTokenCounter:
+    """The process's own counter, made once."""
     if (path, pattern) not in _COUNTERS:
-        _COUNTERS[path, pattern] = WholeTokenCounter(path, pattern)
+        _COUNTERS[path, pattern] = WholeTokenCounter(path, pattern, proved)
     return _COUNTERS[path, pattern]
 
 
