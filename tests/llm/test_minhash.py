@@ -73,3 +73,18 @@ def test_pairs_unlike_a_frequent_template_are_found_under_real_keys(spark, paire
     edges = [(x.a, x.b) for x in minhash.similar_links(table, table.selectExpr("hash", "if(hash = 0, 1000L, 1L) AS n"), []).collect()]
     got = joined(edges, sets)
     assert len(near) > 150 and sum(got[a] == got[b] for a, b in near) >= 0.97 * len(near)
+
+
+def test_pairs_of_one_large_key_are_found_whatever_their_other_keys(spark):
+    """Sets that share one key, of more than PAIRED, and have eleven others of few sets."""
+    r = random.Random(5)
+    fresh = iter(range(10**6, 10**8))
+    word = lambda: next(fresh)
+    sets = {}
+    for i in range(30):
+        base = [word() for _ in range(120)]
+        sets[2 * i], sets[2 * i + 1] = set(base), set(edited(r, base, 1, 2, word))
+    rows = [(i, [-1, *[1000 * b + i % 20 if i % 2 else -1000 * b - i % 20 - 1 for b in range(1, 12)]], sorted(s)) for i, s in sets.items()]
+    table = spark.createDataFrame(rows, "hash long, bands array<long>, shingles array<long>")
+    edges = [(x.a, x.b) for x in minhash.similar_links(table, table.selectExpr("hash", "1L AS n"), []).collect()]
+    assert {(min(e), max(e)) for e in edges} == {(2 * i, 2 * i + 1) for i in range(30)}

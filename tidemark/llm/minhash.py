@@ -1,8 +1,8 @@
 """MinHash bands over word shingles, and exact links between the sets that collide.
 
 Keys that few sets share are compared pair by pair. Those that many share, such as that of a template and its edited
-copies, are only needed for pairs of sets both of which have too few other keys; they are split without losing a pair. With |x ^ y| for the shingles that only one of two sets has, sets are
-similar where 9 |x ^ y| <= |x| + |y|. Let c be any set of shingles, and a the member of the group with the least
+copies, are split without losing a pair, whatever other keys their sets have. With |x ^ y| for the shingles that only one
+of two sets has, sets are similar where 9 |x ^ y| <= |x| + |y|. Let c be any set of shingles, and a the member of the group with the least
 9 |a ^ c| - |a|. Then of two similar members x and y
 
 - either x ^ c and y ^ c have a shingle in common,
@@ -32,9 +32,6 @@ BANDS, ROWS = 12, 4
 #: Up to so many sets of one key are compared with each other, and up to so many of one shingle of the differences, where fewer
 #: pairs remain; larger groups are split.
 PAIRED, PAIRED_AGAIN = 32, 64
-#: A set with so many keys of few sets needs no larger one: these alone bring up a pair of 0.8 with probability 0.995, and less
-#: where the two differ in what keeps them from the larger keys.
-ENOUGH = 10
 #: About so many members of a group choose what its centre holds.
 SAMPLED = 16
 
@@ -164,8 +161,7 @@ def _split(waiting: DataFrame, sets: DataFrame, turn: int, used: list[str]) -> t
 def similar_links(sets_of: DataFrame, counts: DataFrame, used: list[str], of: str = "shingles", shingles: Column | None = None) -> DataFrame:
     """Edges (a, b) between the hashes of similar sets, by which those that share a key are connected.
 
-    A pair is looked for under all keys of up to PAIRED sets, and under larger ones if both have more than
-    BANDS - ENOUGH of these; so each pair of similarity 0.8 has at least ENOUGH keys that may bring it together.
+    Under every key, whatever its size, all pairs of its sets are looked for.
 
     sets_of has rows (hash, bands, shingles), equal ones repeated as often as they stand; shingles are distinct and in
     one order. Where the column `of` holds something shorter, `shingles` makes them of it once only the sets wanted are
@@ -183,9 +179,7 @@ def similar_links(sets_of: DataFrame, counts: DataFrame, used: list[str], of: st
     members = checkpoint(members.join(sizes, "key"))
     release(sets.sparkSession)
     edges = _verified(_pairs(members.where(F.col("k") <= PAIRED)), sets)
-    many = members.where(F.col("k") > PAIRED)
-    few = members.groupBy("hash").agg(F.count_if(F.col("k") > PAIRED).alias("many")).where(f"many > {BANDS - ENOUGH}").select("hash")
-    waiting = many.join(few, "hash").join(wanted, "hash")
+    waiting = members.where(F.col("k") > PAIRED).join(wanted, "hash")
     waiting = waiting.select("key", "k", "hash", "n", F.col("hash").alias("label"), F.lit(0).cast("long").alias("parent"), F.lit(None).cast("long").alias("parent_size"))
     turn = 0
     near = f"l_label != r_label AND (l_first OR r_first) AND {PARTS} * abs(l_d - r_d) <= l_size + r_size AND 5 * least(l_size, r_size) >= 4 * greatest(l_size, r_size)"
