@@ -4,7 +4,7 @@ import sentencepiece
 import public_tokenizers
 from tests.llm.data import ODD, SF, clashing, docs, text
 from tests.llm.test_simhash import by_hand, joined
-from tidemark.llm import decontaminate, langid
+from tidemark.llm import decontaminate, langid, minhash, simhash
 from tidemark.llm.common import ASCII_LOWER
 
 pipeline = pytest.importorskip("corpus_pipeline")
@@ -54,6 +54,21 @@ def test_odd_and_empty_tables(spark, tmp_path):
         assert table.count() == (6 if rows else 0)
 
 
+def test_near_copies_that_share_one_large_key_are_dropped(spark, tmp_path, monkeypatch):
+    """Every shared key counts as large here; pairs of texts, of which some share one or two keys."""
+    rows = []
+    for i in range(60):
+        words = text(100 + i, 110).split()
+        other = [f"edited{i}" if k in (30, 70) else w for k, w in enumerate(words)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    bands = [set(b.tolist()) for b in simhash._banded([t.encode() for _, t in rows])[1].values()]
+    n_shared = [len(bands[2 * i] & bands[2 * i + 1]) for i in range(60)]
+    assert sum(n in (1, 2) for n in n_shared) >= 2
+    monkeypatch.setattr(minhash, "PAIRED", 1)
+    left = {r.doc_id for r in pipeline.drop_near_copies(spark, docs(spark, rows), str(tmp_path)).collect()}
+    assert all(2 * i in left and 2 * i + 1 not in left for i, n in enumerate(n_shared) if n)
+
+
 def shared(texts, size, words):
     """The ids of texts that have a run of so many words that another text has too."""
     holders = {}
