@@ -88,3 +88,31 @@ def test_pairs_of_one_large_key_are_found_whatever_their_other_keys(spark):
     table = spark.createDataFrame(rows, "hash long, bands array<long>, shingles array<long>")
     edges = [(x.a, x.b) for x in minhash.similar_links(table, table.selectExpr("hash", "1L AS n"), []).collect()]
     assert {(min(e), max(e)) for e in edges} == {(2 * i, 2 * i + 1) for i in range(30)}
+
+
+@pytest.mark.parametrize("kind", ["copies", "versions", "small"])
+def test_split_groups_and_held_ones_have_the_components_of_all_pairs(spark, kind, monkeypatch):
+    sets = {i: set(s) for i, s in enumerate(groups(kind))}
+    near = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    table = spark.createDataFrame([(i, [*range(12)], sorted(s)) for i, s in sets.items()], "hash long, bands array<long>, shingles array<long>")
+    for held in (0, 90):  # none, and those that a first split leaves
+        monkeypatch.setattr(minhash, "HELD", held)
+        edges = [(x.a, x.b) for x in minhash.similar_links(table, table.selectExpr("hash", "1L AS n"), []).collect()]
+        assert all(5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) for a, b in edges)
+        assert joined(edges, sets) == joined(near, sets), held
+
+
+def test_a_group_that_one_task_can_hold_is_not_split(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "_split", lambda *a: pytest.fail("split"))
+    sets = groups("copies")
+    table = spark.createDataFrame([(i, [*range(12)], sorted(set(s))) for i, s in enumerate(sets)], "hash long, bands array<long>, shingles array<long>")
+    edges = minhash.similar_links(table, table.selectExpr("hash", "1L AS n"), []).collect()
+    assert len(edges) < 12 * len(sets)
+
+
+def test_common_shingles_of_a_group_are_counted_exactly():
+    r = random.Random(3)
+    sets = [sorted(r.sample(range(-1500, 1500), r.randint(0, 300))) for _ in range(60)] + [[], list(range(4000))]
+    owners = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    found = minhash._common(owners, np.concatenate([np.array(s, dtype=np.int64) for s in sets]), len(sets))
+    assert all(found[a, b] == len(set(sets[a]) & set(sets[b])) for b in range(len(sets)) for a in range(b))

@@ -80,6 +80,28 @@ def test_components_of_paths_stars_and_loops(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_many_edges_and_of_few(spark, monkeypatch):
+    r = random.Random(12)
+    edges = [(r.randint(-400, 400), r.randint(-400, 400)) for _ in range(500)] + [(1000 + k, 1001 + k) for k in range(300)] + [(None, 5), (2000, 2000)]
+    table = spark.createDataFrame(edges, "a long, b long")
+    want = joined([e for e in edges if None not in e and e[0] != e[1]], {x for e in edges if None not in e and e[0] != e[1] for x in e})
+    for held in (components.HELD, 0):
+        monkeypatch.setattr(components, "HELD", held)
+        assert {x.node: x.component for x in components.components(table).collect()} == want
+        names = {x.node: x.component for x in components.components(table.selectExpr("string(a) AS a", "string(b) AS b")).collect()}
+        assert set(names) == {str(x) for x in want} and len(set(names.values())) == len(set(want.values()))
+    assert components.components(table.limit(0)).count() == 0
+
+
+def test_few_edges_take_no_rounds(spark):
+    table = spark.range(200).selectExpr("id AS a", "id + 1 AS b")
+    spark.sparkContext.setJobGroup("few edges", "")
+    found = components.components(table)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few edges")) <= 6
+    assert {x.component for x in found.collect()} == {0}
+
+
 def test_near_copies_reach_similar_texts(spark):
     words = text(1, 300).split()
     copy = list(words)

@@ -13,12 +13,14 @@ So members are linked to a, and those that may have another link besides meet un
 from c. There the common shingles of the group have gone: c holds what most of a sample of the members have, which
 only decides how fast groups shrink, never what is found. Of the differences, a prefix in one order is enough: if
 |x ^ c| <= |y ^ c|, at most |x ^ y| / 2 of x's are not y's, and at most |x ^ y| of y's are not x's. Groups that are
-still large are split again.
+still large are split again. Those that one task can hold, by sets and by shingles, are not split: all their pairs are
+compared there, which takes one shuffle where splitting takes a dozen a round.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +32,13 @@ PARTS = 9
 #: Twelve bands of four rows: a pair of similarity 0.8 shares a key with probability 0.998, one of 0.3 with 0.09.
 BANDS, ROWS = 12, 4
 #: Up to so many sets of one key are compared with each other, and up to so many of one shingle of the differences, where fewer
-#: pairs remain; larger groups are split.
+#: pairs remain; larger groups are compared in one task each or split.
 PAIRED, PAIRED_AGAIN = 32, 64
+#: Groups of up to so many sets, with up to so many shingles in all, are compared in one task; beyond either they are split.
+#: It changes the work, not the result.
+HELD, HELD_SHINGLES = 2048, 1 << 21
+#: Shingles of up to so many sets of a held group are counted pair by pair, the others by matrix products.
+RARE = 8
 #: About so many members of a group choose what its centre holds.
 SAMPLED = 16
 
@@ -99,6 +106,58 @@ def _pairs(members: DataFrame, *kept: str, where: str = "true") -> DataFrame:
     return left.join(right, "key").where(f"a < b AND ({where})").select("a", "b").distinct()
 
 
+def _common(owners: np.ndarray, shingles: np.ndarray, m: int) -> np.ndarray:
+    """How many shingles the sets a < b of 0 to m - 1 have in common, at [a, b]; owners ascend."""
+    _, ids, counts = np.unique(shingles, return_inverse=True, return_counts=True)
+    found = np.zeros((m, m), dtype=np.float32)
+    order = np.argsort(ids, kind="stable")
+    by_shingle, firsts = owners[order], np.cumsum(counts) - counts
+    for size in range(2, RARE + 1):
+        sets = by_shingle[firsts[counts == size][:, None] + np.arange(size)]
+        for a in range(size):
+            for b in range(a + 1, size):
+                np.add.at(found, (sets[:, a], sets[:, b]), 1)
+    often = np.cumsum(counts > RARE) - 1
+    kept = counts[ids] > RARE
+    rows, columns = owners[kept], often[ids[kept]]
+    order = np.argsort(columns, kind="stable")
+    rows, columns = rows[order], columns[order]
+    for start in range(0, int(columns[-1]) + 1 if len(columns) else 0, 1024):
+        cut = slice(*np.searchsorted(columns, (start, start + 1024)))
+        block = np.zeros((m, 1024), dtype=np.float32)
+        block[rows[cut], columns[cut] - start] = 1
+        found += block @ block.T
+    return found
+
+
+def _spanning(table: pa.Table) -> pa.Table:
+    """Links (a, b) of similar sets that connect the same sets of one group as all its links do."""
+    hashes, lists = table["hash"].combine_chunks().to_numpy(), table["shingles"].combine_chunks()
+    sizes = lists.value_lengths().to_numpy()
+    m = len(hashes)
+    total = sizes[:, None] + sizes[None, :]
+    similar = np.triu(PARTS * (total - 2 * _common(np.repeat(np.arange(m), sizes), lists.flatten().to_numpy(), m)) <= total, 1)
+    similar |= similar.T
+    left, a, b = similar.any(axis=1), [], []
+    for first in np.flatnonzero(left).tolist():
+        todo = [first] if left[first] else []
+        left[first] = False
+        while todo:
+            own = todo.pop()
+            met = np.flatnonzero(similar[own] & left)
+            left[met] = False
+            a.append(np.full(len(met), hashes[own]))
+            b.append(hashes[met])
+            todo += met.tolist()
+    none = np.zeros(0, dtype=np.int64)
+    return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
+
+
+def _held(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links that connect the sets of each key as all links of its sets do."""
+    return members.select("key", "hash").join(sets, "hash").groupBy("key").applyInArrow(_spanning, "a long, b long")
+
+
 def _grouped(waiting: DataFrame) -> DataFrame:
     """g, g_size, hash, n, label: the keys as groups, those of one parent and one leader merged.
 
@@ -151,9 +210,9 @@ def _split(waiting: DataFrame, sets: DataFrame, turn: int, used: list[str]) -> t
     half = f"{both} div {2 * PARTS} + 1"
     named = named.join(open_, "g").withColumn("fewer", F.expr(f"if(tied, least({alone}, {half}), {half})"))
     named = checkpoint(named.withColumn("differ", F.expr(f"slice(differ, 1, if(tied AND d < coalesce(open_d, d + 1), greatest(0, cast(fewer AS int)), {both} div {PARTS} + 1))")))
-    keyed = named.select("g", "hash", "label", "fewer", F.posexplode("differ").alias("at", "shingle"))
-    keyed = keyed.select("g", "hash", "label", F.expr("xxhash64(g, shingle)").alias("key"), F.expr("at < fewer").alias("first"))
-    met = keyed.groupBy("key").agg(F.count("*").alias("k"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("first").alias("any_first")).where("low != high AND any_first").select("key", "k")
+    keyed = named.select("g", "hash", "label", "size", "fewer", F.posexplode("differ").alias("at", "shingle"))
+    keyed = keyed.select("g", "hash", "label", "size", F.expr("xxhash64(g, shingle)").alias("key"), F.expr("at < fewer").alias("first"))
+    met = keyed.groupBy("key").agg(F.count("*").alias("k"), F.sum("size").alias("weight"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("first").alias("any_first")).where("low != high AND any_first").select("key", "k", "weight")
     rows = keyed.select("g", "hash", "key", "first").join(met, "key").join(named.select("g", "g_size", "hash", "n", "label", "size", "d"), ["g", "hash"])
     return tied, checkpoint(rows)
 
@@ -179,15 +238,20 @@ def similar_links(sets_of: DataFrame, counts: DataFrame, used: list[str], of: st
     members = checkpoint(members.join(sizes, "key"))
     release(sets.sparkSession)
     edges = _verified(_pairs(members.where(F.col("k") <= PAIRED)), sets)
-    waiting = members.where(F.col("k") > PAIRED).join(wanted, "hash")
+    small = f"k <= {HELD} AND weight <= {HELD_SHINGLES}"
+    many = checkpoint(members.where(F.col("k") > PAIRED).join(sets.select("hash", F.size("shingles").alias("size")), "hash"))
+    many = checkpoint(many.join(many.groupBy("key").agg(F.sum("size").alias("weight")), "key"))
+    edges = edges.union(_held(many.where(small), sets))
+    waiting = many.where(f"NOT ({small})").join(wanted, "hash")
     waiting = waiting.select("key", "k", "hash", "n", F.col("hash").alias("label"), F.lit(0).cast("long").alias("parent"), F.lit(None).cast("long").alias("parent_size"))
     turn = 0
     near = f"l_label != r_label AND (l_first OR r_first) AND {PARTS} * abs(l_d - r_d) <= l_size + r_size AND 5 * least(l_size, r_size) >= 4 * greatest(l_size, r_size)"
     while waiting.take(1):
         tied, rows = _split(waiting, sets, turn, used)
         few = _pairs(rows.where(F.col("k") <= PAIRED_AGAIN), "label", "first", "d", "size", where=near)
-        edges = edges.union(tied).union(_verified(few, sets))
-        waiting = rows.where(F.col("k") > PAIRED_AGAIN).select("key", "k", "hash", "n", "label", F.col("g").alias("parent"), F.col("g_size").alias("parent_size"))
+        rows = rows.where(F.col("k") > PAIRED_AGAIN)
+        edges = edges.union(tied).union(_verified(few, sets)).union(_held(rows.where(small), sets))
+        waiting = rows.where(f"NOT ({small})").select("key", "k", "hash", "n", "label", F.col("g").alias("parent"), F.col("g_size").alias("parent_size"))
         turn += 1
         release(edges.sparkSession)
     return edges
