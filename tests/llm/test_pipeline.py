@@ -69,6 +69,16 @@ def test_near_copies_that_share_one_large_key_are_dropped(spark, tmp_path, monke
     assert all(2 * i in left and 2 * i + 1 not in left for i, n in enumerate(n_shared) if n)
 
 
+def test_a_paragraph_of_many_edited_copies_is_cut_without_rounds(spark, tmp_path, monkeypatch):
+    """Copies of a line with one word changed in each, more than PAIRED: one task compares them, none is split."""
+    monkeypatch.setattr(minhash, "_split", lambda *a: pytest.fail("split"))
+    line = text(1, 90).split()
+    rows = [(i, f"own{i} words{i}\n{' '.join([*line[: i % 80], f'edited{i}', *line[i % 80 + 1 :]])}") for i in range(100)]
+    left = {r.doc_id: r.text for r in pipeline.cut_repeats(spark, docs(spark, rows), str(tmp_path)).collect()}
+    assert left.pop(0) == rows[0][1] and len(left) == 99
+    assert all(left[i].strip() == f"own{i} words{i}" for i in left)
+
+
 def shared(texts, size, words):
     """The ids of texts that have a run of so many words that another text has too."""
     holders = {}
