@@ -111,6 +111,11 @@ def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Itera
         stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+    trim()
+
+
+def trim() -> None:
+    """Gives memory that the process no longer uses back to the system."""
     pa.default_memory_pool().release_unused()
     if _TRIM is not None:
         _TRIM(0)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint, release
+from tidemark.llm.common import checkpoint, release, trim
 
 #: Up to so many edges between long nodes are followed in one task; it changes the work, not the result.
 HELD = 1 << 20
@@ -43,7 +43,10 @@ def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found = [(b["high"].to_numpy(), b["low"].to_numpy()) for b in batches if b.num_rows]
     if found:
         nodes, least = _least(*(np.concatenate(ends) for ends in zip(*found, strict=True)))
+        del found
         yield pa.RecordBatch.from_pydict({"node": nodes, "component": least})
+        del nodes, least
+        trim()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint, release, stored
+from tidemark.llm.common import checkpoint, release, stored, trim
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: SIMILARITY in whole numbers: sets of |x| + |y| shingles are similar where at most a ninth of them is not shared.
@@ -135,8 +135,12 @@ def _spanning(table: pa.Table) -> pa.Table:
     hashes, lists = table["hash"].combine_chunks().to_numpy(), table["shingles"].combine_chunks()
     sizes = lists.value_lengths().to_numpy()
     m = len(hashes)
-    total = sizes[:, None] + sizes[None, :]
-    similar = np.triu(PARTS * (total - 2 * _common(np.repeat(np.arange(m), sizes), lists.flatten().to_numpy(), m)) <= total, 1)
+    total = (sizes[:, None] + sizes[None, :]).astype(np.float32)
+    alone = _common(np.repeat(np.arange(m), sizes), lists.flatten().to_numpy(), m)
+    alone *= -2
+    alone += total
+    alone *= PARTS
+    similar = np.triu(alone <= total, 1)
     similar |= similar.T
     left, a, b = similar.any(axis=1), [], []
     for first in np.flatnonzero(left).tolist():
@@ -150,6 +154,8 @@ def _spanning(table: pa.Table) -> pa.Table:
             b.append(hashes[met])
             todo += met.tolist()
     none = np.zeros(0, dtype=np.int64)
+    del total, alone, similar, lists
+    trim()
     return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
 
 
@@ -250,7 +256,7 @@ def similar_links(sets_of: DataFrame, counts: DataFrame, used: list[str], of: st
         tied, rows = _split(waiting, sets, turn, used)
         few = _pairs(rows.where(F.col("k") <= PAIRED_AGAIN), "label", "first", "d", "size", where=near)
         rows = rows.where(F.col("k") > PAIRED_AGAIN)
-        edges = edges.union(tied).union(_verified(few, sets)).union(_held(rows.where(small), sets))
+        edges = edges.union(tied).union(checkpoint(_verified(few, sets))).union(_held(rows.where(small), sets))
         waiting = rows.where(f"NOT ({small})").select("key", "k", "hash", "n", "label", F.col("g").alias("parent"), F.col("g_size").alias("parent_size"))
         turn += 1
         release(edges.sparkSession)
